@@ -1 +1 @@
-
+"""Streams over the operators."""
