@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 LEAST = 1.5
 
 _CLASSES = {
-    "strong": "idiot idiots moron morons scum loser losers worthless imbecile imbeciles scumbag scumbags dumbass retard retards bastard bastards asshole assholes bitch bitches whore whores vermin "
+    "strong": "idiot idiots moron morons scum loser losers worthless imbecile imbeciles scumbag scumbags dumbass retard retards bastard bastards asshole assholes bitch bitches vermin "
     "idiota idiotas imbécil imbéciles estúpido estúpida imbécile imbéciles connard connards abruti abrutie trottel dummkopf arschloch abschaum vollidiot",
     "weak": "trash pathetic disgusting stupid clown clowns filth filthy dumb garbage repulsive useless stupide minable pathétique patético patética basura dumm wertlos widerlich",
     "harm": "kill murder stab shoot strangle behead slaughter lynch hurt cripple maim",
