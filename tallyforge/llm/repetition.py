@@ -64,8 +64,9 @@ def measured(step: Step) -> np.ndarray:
     breaks = np.flatnonzero(step.data == 10)
     starts = np.union1d(step.edges[:-1], breaks + 1)
     starts = starts[starts < step.data.size]
-    ends = np.minimum(np.append(starts[1:], step.data.size), step.data.size)
-    ends = np.where(step.data[ends - 1] == 10, ends - 1, ends)
+    ends = np.append(starts[1:], step.data.size) if starts.size else starts
+    if starts.size:
+        ends = np.where(step.data[ends - 1] == 10, ends - 1, ends)
     starts, ends = starts[ends > starts], ends[ends > starts]
     if starts.size:
         doc = np.searchsorted(step.edges, starts, "right") - 1
