@@ -189,4 +189,5 @@ def without_near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     gone = near_duplicates(docs, least).where(~F.col("keep")).select(F.col("doc_id").alias("__gone"))
     left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return left.withColumn("__row", F.row_number().over(one)).where((F.col("__row") == 1) | F.col("doc_id").isNull()).drop("__row")
+    row = "__row" + "_" * max(map(len, docs.columns))  # longer than any column's name
+    return left.withColumn(row, F.row_number().over(one)).where((F.col(row) == 1) | F.col("doc_id").isNull()).drop(row)
