@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -81,10 +82,11 @@ class Parser:
 
     The automata are one table, (state, letter) -> (next state, phrases begun), and a step of numpy moves all
     texts and languages by a letter; the few longest texts are finished one by one. With alphabets for
-    which the table would have over TABLE cells, all texts are parsed one by one.
+    which the table would have over TABLE cells, all texts are parsed one by one. Texts are taken in parts of
+    STEP letters (a longer text is a part of its own), so that memory doesn't grow with their number.
     """
 
-    TABLE, FEW = 1 << 26, 48
+    TABLE, FEW, STEP = 1 << 26, 48, 1 << 22
 
     def __init__(self, reference: dict[str, str]):
         self.names = sorted(reference)
@@ -110,9 +112,10 @@ class Parser:
         for k, ch in enumerate(alphabet):
             self.code[ord(ch)] = k
         column = {ch: k for k, ch in enumerate(alphabet)}
-        self.table, self.base, base = np.zeros(cells, np.int64), [], 0
+        self.starts = []
+        self.table, self.base, base = np.zeros(cells, np.int32), [], 0
         for order, todo in orders:
-            root = np.full(width, base, np.int64)
+            root = np.full(width, base, np.int32)
             for ch, to in todo[0].items():
                 root[column[ch]] = base + order[id(to)] * width
             begun = np.where(root == base, 2, 1)
@@ -127,6 +130,16 @@ class Parser:
 
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Letters of each text, and phrases by language and text."""
+        parts, first, size = [], 0, 0
+        for k, text in enumerate(texts):
+            size += len(text or "")
+            if size > self.STEP and k > first:
+                parts.append(self._counts(texts[first:k]))
+                first, size = k, len(text or "")
+        parts.append(self._counts(texts[first:]))
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts], axis=1)
+
+    def _counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if self.table is None:
             found = [letters(t) for t in texts]
             return np.array([len(t) for t in found], np.int64), np.array([[phrase_count(t, s) for t in found] for s in self.starts], np.int64).reshape(len(self.starts), len(texts))
@@ -147,7 +160,7 @@ class Parser:
         size = size - ends_blank
         order = np.argsort(-size, kind="stable")
         at, left = first[order].copy(), size[order]
-        state = np.repeat(np.array(self.base, np.int64)[:, None] * 4, len(texts), axis=1)
+        state = np.repeat(np.array(self.base, np.int32)[:, None] * np.int32(4), len(texts), axis=1)
         total = np.zeros(state.shape, np.int64)
         step = 0
         while True:
@@ -177,6 +190,12 @@ class Parser:
         return size, found
 
 
+@lru_cache(maxsize=1)
+def _parser(reference: tuple[tuple[str, str], ...]) -> Parser:
+    """The parser that all tasks of a Python worker share."""
+    return Parser(dict(reference))
+
+
 _classes: list[np.ndarray] = []
 
 
@@ -239,7 +258,7 @@ def scorer(reference: dict[str, str]):
     names = sorted(reference)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        parser = Parser(reference)
+        parser = _parser(tuple(sorted(reference.items())))
         for texts in batches:
             size, found = parser.counts(texts.tolist())
             out = pd.DataFrame({"n_letters": size, "language": pd.Series([None] * len(size), dtype=object), "bits": np.nan, "next_bits": np.nan})
