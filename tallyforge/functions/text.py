@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 _ID = r"(?i)^([a-z0-9_]+)_tool_spec_(\d+)(?:__|$)"
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def _found(value: Column) -> Column:
     return F.when(value != "", value)
 
@@ -121,23 +126,23 @@ def without_fence(text: Column) -> Column:
     """The body of the first fenced block; without its first line if the fence isn't closed; else as it is."""
     body = F.regexp_extract(text, r"(?s)```[^\n]*\n(.*?)```", 1)
     opened = F.ltrim(text).startswith("```")
-    return F.when(text.rlike(r"(?s)```[^\n]*\n.*?```"), F.trim(body)).when(opened, F.regexp_replace(F.ltrim(text), r"^[^\n]*\n?", "")).otherwise(text)
+    return F.when(text.rlike(r"(?s)```[^\n]*\n.*?```"), stripped(body)).when(opened, F.regexp_replace(F.ltrim(text), r"^[^\n]*\n?", "")).otherwise(text)
 
 
 def agent_response(text: Column) -> Column:
     """Of a simulator's answer: its status line and what stands from Response: up to Explanation:."""
-    lines = F.transform(F.split(text, "\n"), lambda x: x)
-    stripped = F.transform(lines, lambda x: F.trim(x))
-    first = lambda mark: F.array_position(F.transform(stripped, lambda x: x.startswith(mark)), True)
+    lines = F.split(text, "\n")
+    bare = F.transform(lines, stripped)
+    first = lambda mark: F.array_position(F.transform(bare, lambda x: x.startswith(mark)), True)
     explained = first("Explanation:")
     # only a Response: before the first Explanation: counts
-    heads = F.when(explained > 0, F.slice(stripped, 1, (explained - 1).cast("int"))).otherwise(stripped)
+    heads = F.when(explained > 0, F.slice(bare, 1, (explained - 1).cast("int"))).otherwise(bare)
     responses = F.filter(F.transform(heads, lambda x, i: F.when(x.startswith("Response:"), i + 1)), lambda x: x.isNotNull())
     start = F.try_element_at(responses, F.lit(-1))
-    status = F.try_element_at(F.filter(stripped, lambda x: x.startswith("Status Code:")), F.lit(1))
+    status = F.try_element_at(F.filter(bare, lambda x: x.startswith("Status Code:")), F.lit(1))
     until = F.when(explained > 0, explained - 1).otherwise(F.size(lines))
     body = F.slice(lines, start.cast("int"), F.greatest(until - start + 1, F.lit(0)).cast("int"))
-    return F.when(start.isNull(), text).otherwise(F.trim(F.array_join(F.concat(F.when(status.isNull(), F.array().cast("array<string>")).otherwise(F.array(status)), body), "\n")))
+    return F.when(start.isNull(), text).otherwise(stripped(F.array_join(F.concat(F.when(status.isNull(), F.array().cast("array<string>")).otherwise(F.array(status)), body), "\n")))
 
 
 def filled(template: Column, **values: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
 from ..functions import calls as C
-from ..functions.text import lookup_name
+from ..functions.text import lookup_name, stripped
 
 CALL = Y.ArrayType(Y.StructType([Y.StructField("name", Y.StringType()), Y.StructField("parameters", Y.MapType(Y.StringType(), Y.StringType())), Y.StructField("canonical", Y.StringType())]))
 
@@ -47,11 +47,11 @@ def attempts(text: Column) -> Column:
     """The bodies between two <ATTEMPT> tags, then those between <ATTEMPT_START> and <ATTEMPT_END>, trimmed."""
     first = F.regexp_extract_all(text, F.lit(r"(?s)<ATTEMPT>(.*?)<ATTEMPT>"), F.lit(1))
     second = F.regexp_extract_all(text, F.lit(r"(?s)<ATTEMPT_START>(.*?)<ATTEMPT_END>"), F.lit(1))
-    return F.transform(F.concat(first, second), lambda x: F.trim(x))
+    return F.transform(F.concat(first, second), stripped)
 
 
 def without_attempts(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?s)<ATTEMPT>.*?<ATTEMPT>", ""), r"(?s)<ATTEMPT_START>.*?<ATTEMPT_END>", ""))
+    return stripped(F.regexp_replace(F.regexp_replace(text, r"(?s)<ATTEMPT>.*?<ATTEMPT>", ""), r"(?s)<ATTEMPT_START>.*?<ATTEMPT_END>", ""))
 
 
 def extraneous(attempt: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 from pathlib import Path
 
 import numpy as np
@@ -34,7 +35,7 @@ def stems(spark: SparkSession, path: str, suffix: str) -> DataFrame:
 
 def texts(spark: SparkSession, paths: list[str], pattern: str) -> DataFrame:
     """(path, stem, text): one row a file."""
-    read = spark.read.option("wholetext", "true").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(paths)
+    read = spark.read.text(paths, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
     return read.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).withColumn("stem", stem(F.col("path")))
 
 
@@ -79,11 +80,13 @@ def json_rows(spark: SparkSession, path: str, schema: str | None = None) -> Data
     if not bad:
         rows = lines.where(F.ltrim("value").startswith("{")).select("value")
     else:
-        whole = spark.read.option("wholetext", "true").text(path)
+        whole = spark.read.text(path, wholetext=True)
         items = F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<variant>")).otherwise(F.array(F.try_parse_json("value")))
         rows = whole.select(F.explode(items).alias("item")).select(F.to_json("item").alias("value")).where(F.col("value").startswith("{"))
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.json(rows)
+    if schema is None:
+        found = rows.agg(F.schema_of_variant_agg(F.parse_json("value"))).first()[0]
+        schema = re.sub(r"\bVOID\b", "STRING", found.replace("OBJECT<", "STRUCT<"))
+    return rows.select(F.from_json("value", schema).alias("__row")).select("__row.*")
 
 
 def embeddings(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
