@@ -13,8 +13,9 @@ from .words import Step, grams, steps
 
 #: n-gram lengths in words, and the largest share of characters that may lie in duplicated n-grams.
 LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-#: Largest share of lines, and of their characters, that may repeat an earlier line.
-LINES, LINE_CHARACTERS = 0.30, 0.20
+#: Largest share of the lines' characters that may lie in lines that repeat an earlier one. (The share of lines decides
+#: nothing: in a text of three lines a repeated short one would be a third.)
+LINE_CHARACTERS = 0.20
 _MEASURES = [*(f"dup_{n}gram" for n in LIMITS), "dup_lines", "dup_line_chars"]
 
 
@@ -85,9 +86,9 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in found)], ["doc_id", *_MEASURES])
 
 
-def kept(limits: dict[int, float] | None = None, lines: float = LINES, line_chars: float = LINE_CHARACTERS) -> Column:
-    """Whether no measure is over its limit."""
-    ok = (F.col("dup_lines") <= lines) & (F.col("dup_line_chars") <= line_chars)
+def kept(limits: dict[int, float] | None = None, line_chars: float = LINE_CHARACTERS) -> Column:
+    """Whether no share of characters is over its limit."""
+    ok = F.col("dup_line_chars") <= line_chars
     for n, most in (LIMITS if limits is None else limits).items():
         ok = ok & (F.col(f"dup_{n}gram") <= most)
     return ok
@@ -98,8 +99,8 @@ def repetition(docs: DataFrame) -> DataFrame:
 
     dup_<n>gram: the share of the characters of all words that lie in an n-gram of words that occurred
     before in the text; overlapping ones count once. dup_lines: the share of lines that are not empty and equal an
-    earlier one; dup_line_chars: that share in characters. keep: all are within LIMITS, LINES and
-    LINE_CHARACTERS. Upper and lower case are alike.
+    earlier one; dup_line_chars: that share in characters. keep: the shares of characters are
+    within LIMITS and LINE_CHARACTERS. Upper and lower case are alike.
 
     Null, empty and one-word texts repeat nothing: all shares are 0 and they are kept. Rows of equal
     doc_id get a row each. No documents: no rows. Other columns are not looked at.

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from tallyforge.llm import lattice as L
 
-LOG_P = {p: math.log(w) for p, w in {"▁": 0.1, "a": 0.2, "b": 0.1, "ab": 0.15, "▁a": 0.05, "ba": 0.1, "aba": 0.02, "<0x63>": 0.03, "<0xC3>": 0.01, "<0xA9>": 0.01}.items()}
+LOG_P = {p: math.log(w) for p, w in {"▁": 0.1, "a": 0.2, "b": 0.1, "ab": 0.15, "▁a": 0.05, "ba": 0.1, "aba": 0.02, "<0x63>": 0.03, "<0xC3>": 0.01, "<0xA9>": 0.01, "<0x9F>": 0.01, "<0xE8>": 0.01, "<0xAA>": 0.01, "<0x9E>": 0.01}.items()}
 needs_model = pytest.mark.skipif(not os.path.exists(L.MODEL), reason="no vocabulary")
 
 
@@ -46,6 +46,19 @@ def test_expected_counts_are_posteriors(text):
     assert dict(counts) == pytest.approx(dict(wanted))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abcéß語", min_size=1, max_size=12), max_size=12))
+def test_table_equals_one_word_at_a_time(words):
+    lattice, table = L.Lattice(LOG_P), L.Table(LOG_P)
+    table.CELLS = 30
+    assert table.log_probs(words).tolist() == pytest.approx([lattice.forward("▁" + w)[-1] for w in words])
+    one, many = L.defaultdict(float), L.defaultdict(float)
+    for k, w in enumerate(words, 1):
+        lattice.expected("▁" + w, k, one)
+    table.expected(words, L.np.arange(1, len(words) + 1), many)
+    assert {p: n for p, n in many.items() if n > 1e-12} == pytest.approx({p: n for p, n in one.items() if n > 1e-12})
+
+
 @needs_model
 def test_query_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -5,6 +5,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 
+from tallyforge.llm import buckets
 from tallyforge.llm import lzprint as Z
 from tallyforge.llm.words import steps
 
@@ -35,7 +36,10 @@ def test_similarity_estimates_shared_phrases():
     (step,) = steps(pa.array(texts))
     _, found = Z.parsed(step)
     a, b = (lz78(t.split()) for t in texts)
-    assert abs((found[0] == found[1]).mean() - len(a & b) / len(a | b)) < 4 * 0.5 / np.sqrt(Z.SIZE)
+    wanted = len(a & b) / len(a | b)
+    assert abs((found[0] == found[1]).mean() - wanted) < 4 * 0.5 / np.sqrt(Z.SIZE)
+    byte = Z.signatures(found)
+    assert abs(Z.similarity((byte[0] == byte[1]).sum()) - wanted) < 4 * 0.5 / np.sqrt(Z.SIZE)
 
 
 def test_query_against_brute_force(spark, sf_dir):
@@ -51,10 +55,10 @@ def test_query_against_brute_force(spark, sf_dir):
     for i, p in prints.items():
         rep[i] = first.setdefault(p.tobytes(), i)
     reps = sorted(first.values())
-    matrix = np.array([prints[i] for i in reps])
+    matrix = Z.signatures(np.array([prints[i] for i in reps]))
     wanted: dict[int, dict[int, float]] = {i: {} for i in reps}
     for x, i in enumerate(reps):
-        share = (matrix == matrix[x]).mean(1)
+        share = Z.similarity((matrix == matrix[x]).sum(1))
         for y in np.flatnonzero(share >= Z.LEAST):
             if y != x and sizes[i] and sizes[reps[y]]:
                 wanted[i][reps[y]] = share[y]
@@ -92,13 +96,13 @@ def test_tiles_own_each_pair_once(spark, monkeypatch):
         rows.append((k, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id int, text string")
     whole = {r[0]: tuple(r) for r in Z.fingerprints(docs).collect()}
-    monkeypatch.setattr(Z, "BLOCK", 7)
-    monkeypatch.setattr(Z, "_AT_ONCE", 50)
+    monkeypatch.setattr(buckets, "BLOCK", 7)
+    monkeypatch.setattr(buckets, "AT_ONCE", 50)
     assert {r[0]: tuple(r) for r in Z.fingerprints(docs).collect()} == whole
     assert sum(len(r[4]) for r in whole.values()) > 500
     for n, block in ((0, 3), (9, 3), (10, 20)):
         keys = np.repeat(np.arange(n), 5)
-        found = [(a, b) for row, other in Z._pairs(keys, np.zeros(keys.size, np.int64)) for a, b in zip(row.tolist(), other.tolist())]
+        found = [(a, b) for row, other in buckets.pairs(keys, np.zeros(keys.size, np.int64)) for a, b in zip(row.tolist(), other.tolist())]
         assert len(found) == len(set(found)) == 10 * n and all(b < a and keys[a] == keys[b] for a, b in found)
-    crossed = [(a, b) for row, other in Z._pairs(np.zeros(5, np.int64), np.array([2, 2, 4, 4, 4])) for a, b in zip(row.tolist(), other.tolist())]
+    crossed = [(a, b) for row, other in buckets.pairs(np.zeros(5, np.int64), np.array([2, 2, 4, 4, 4])) for a, b in zip(row.tolist(), other.tolist())]
     assert sorted(crossed) == [(a, b) for a in (2, 3, 4) for b in (0, 1)]

@@ -35,7 +35,7 @@ def check(spark, rows):
     assert len(found) == len(rows)
     for i, text in rows:
         assert list(found[i][1:-1]) == pytest.approx(brute(text)), text
-        assert found[i]["keep"] == all(v <= m + 1e-12 for v, m in zip(brute(text), [*R.LIMITS.values(), R.LINES, R.LINE_CHARACTERS]))
+        assert found[i]["keep"] == all(v <= m + 1e-12 for v, m in zip(brute(text), [*R.LIMITS.values(), 1.0, R.LINE_CHARACTERS]))
 
 
 def test_against_brute_force_on_random_texts(spark):
