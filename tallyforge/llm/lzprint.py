@@ -9,16 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
 from ..plans.scratch import cut, written
+from . import buckets
 from .words import Step, mixed, steps
 
 #: Minimum hashes of a signature, in BANDS bands; the least share of equal ones for a match.
 SIZE, BANDS, LEAST = 160, 32, 0.6
 _A = mixed(np.arange(1, SIZE + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mixed(np.arange(SIZE + 1, 2 * SIZE + 1, dtype=np.uint64))
-#: Rows of the larger side that are compared at once.
-_ROWS = 512
 
 
 def phrases(words: list[int]) -> list[int]:
@@ -38,29 +36,30 @@ def phrases(words: list[int]) -> list[int]:
 
 
 def parsed(step: Step) -> tuple[list[list[int]], np.ndarray]:
-    """The phrases of each text of the step, and the signatures."""
+    """The phrases of each text of the step, and the minimum hashes."""
     words = step.hashes(step.starts, step.ends).tolist()
     cuts = np.searchsorted(step.doc, np.arange(step.n + 1))
     found = [phrases(words[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-    out = np.full((step.n, SIZE), np.iinfo(np.uint32).max, np.uint32)
+    out = np.full((step.n, SIZE), np.iinfo(np.uint64).max, np.uint64)
     for i, keys in enumerate(found):
         base = mixed(np.array(keys, np.uint64))
         for k in range(0, base.size, 4096):
-            hashed = (base[k : k + 4096, None] * _A + _B) >> np.uint64(32)
-            out[i] = np.minimum(out[i], hashed.min(0).astype(np.uint32))
+            np.minimum(out[i], (base[k : k + 4096, None] * _A + _B).min(0), out=out[i])
     return found, out
 
 
-def _keys(found: np.ndarray) -> np.ndarray:
-    parts = found.reshape(len(found), BANDS, -1).astype(np.uint64)
-    keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), parts.shape[:2])
-    for k in range(parts.shape[2]):
-        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
-    return keys.astype(np.int64)
+def signatures(found: np.ndarray) -> np.ndarray:
+    """A byte of each minimum hash: two that differ have equal bytes with a chance of 1 / 256."""
+    return (mixed(found) >> np.uint64(56)).astype(np.uint8)
+
+
+def similarity(same: np.ndarray) -> np.ndarray:
+    """The share of equal minimum hashes, from the number of equal bytes."""
+    return np.maximum(0.0, (same / SIZE - 1 / 256) / (1 - 1 / 256))
 
 
 def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_phrases", "print_a", "print_b", "signature", "keys"]
+    names = ["doc_id", "n_phrases", "print_a", "print_b", "signature"]
     for batch in batches:
         for step in steps(batch.column("text")):
             known, found = parsed(step)
@@ -70,39 +69,14 @@ def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in range(SIZE):
                     total = mixed(total * np.uint64(salt) + found[:, k])
                 halves.append(pa.array(total.view(np.int64)))
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * SIZE), step.n, [None, pa.py_buffer(found.tobytes())]).cast(pa.binary())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(step.n + 1, dtype=np.int32) * BANDS), pa.array(_keys(found).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(step.first, step.n), pa.array([len(k) for k in known], pa.int32()), *halves, raw, lists], names)
-
-
-def _compared(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows of a component are next to each other, in order of doc_id."""
-        component, ids, rows = None, [], []
-
-        def pairs() -> Iterator[pa.RecordBatch]:
-            all_, names = np.frombuffer(b"".join(rows), np.uint32).reshape(-1, SIZE), np.array(ids, np.int64)
-            for start in range(1, len(names), _ROWS):
-                part = all_[start : start + _ROWS]
-                same = np.zeros((len(part), start + len(part) - 1), np.uint16)
-                for k in range(SIZE):
-                    same += part[:, k, None] == all_[None, : start + len(part) - 1, k]
-                hit, with_ = np.nonzero(same >= np.ceil(least * SIZE))
-                earlier = with_ < hit + start
-                hit, with_ = hit[earlier], with_[earlier]
-                yield pa.RecordBatch.from_arrays([pa.array(names[with_]), pa.array(names[hit + start]), pa.array(same[hit, with_] / SIZE)], ["doc_a", "doc_b", "similarity"])
+            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SIZE), step.n, [None, pa.py_buffer(signatures(found).tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(step.first, step.n), pa.array([len(k) for k in known], pa.int32()), *halves, raw], names)
 
-        for batch in batches:
-            for c, i, s in zip(batch.column("component").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("signature").to_pylist()):
-                if c != component:
-                    yield from pairs() if len(ids) > 1 else ()
-                    component, ids, rows = c, [], []
-                ids.append(i)
-                rows.append(s)
-        if len(ids) > 1:
-            yield from pairs()
 
-    return run
+def _compared(tile: buckets.Tile) -> Iterator[pa.RecordBatch]:
+    ids = tile[0]
+    for hit, with_, share in buckets.near(tile, BANDS, similarity, LEAST):
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[hit], ids[with_])), pa.array(np.maximum(ids[hit], ids[with_])), pa.array(share)], ["doc_a", "doc_b", "similarity"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -111,29 +85,28 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The words of a text are parsed into LZ78 phrases; fingerprint names, in 32 hexadecimal digits, the SIZE
     minimum hashes of the set of phrases. rep_id is the lowest doc_id of equal fingerprint. similar lists, in
     order, the rep_ids, other than the row's own, of all fingerprints with at least LEAST of their minimum hashes
-    equal to the row's, as far as they share one of BANDS bands or are linked by such; similarities lists those shares.
+    equal to the row's that share one of BANDS bands with it; similarities lists those shares. Each pair is
+    compared where it first shares a band, and large buckets are spread over tasks, so a pair costs what it costs
+    in brute force and no group of copies is bound to one task.
 
     Texts without words (null and empty ones too) have no phrase; their fingerprints are equal and match no
     other. Rows of a null doc_id get a fingerprint; rep_id is then null unless another row has that
-    fingerprint, and they are not looked for on behalf of others. Rows of equal doc_id get a row each.
-    No documents: no rows. Other columns are not looked at.
+    fingerprint, and they are not looked for on behalf of others. Rows of equal doc_id get a row each;
+    what its different texts match is listed together. No documents: no rows. Other columns are not looked at.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    path = written(texts.mapInArrow(_printed, "doc_id long, n_phrases int, print_a long, print_b long, signature binary, keys array<long>"), "lzprint")
+    path = written(texts.mapInArrow(_printed, "doc_id long, n_phrases int, print_a long, print_b long, signature binary"), "lzprint")
     prints = spark.read.parquet(path)
     narrow = prints.select("doc_id", "n_phrases", "print_a", "print_b")
     classes = cut(narrow.withColumn("rep_id", F.min("doc_id").over(Window.partitionBy("print_a", "print_b"))))
     reps = classes.where("doc_id = rep_id and n_phrases > 0").select(F.col("rep_id").alias("__rep"), F.col("print_a").alias("__a"), F.col("print_b").alias("__b")).distinct()
-    mine = lambda df: df.join(reps, (df["doc_id"] == F.col("__rep")) & (df["print_a"] == F.col("__a")) & (df["print_b"] == F.col("__b")), "left_semi")
-    keys = mine(prints.select("doc_id", "print_a", "print_b", "keys")).select("doc_id", F.explode("keys").alias("key"))
-    edges = keys.withColumn("least", F.min("doc_id").over(Window.partitionBy("key"))).where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
-    components = connected_components(edges)
-    sides = prints.select("doc_id", "print_a", "print_b", "signature")
-    gathered = mine(sides).join(components, F.col("doc_id") == F.col("node")).select("component", "doc_id", "signature").repartition("component").sortWithinPartitions("component", "doc_id")
-    pairs = gathered.mapInArrow(_compared(LEAST), "doc_a long, doc_b long, similarity double").where("doc_a <> doc_b").distinct()
+    sides = prints.join(reps, (prints["doc_id"] == F.col("__rep")) & (prints["print_a"] == F.col("__a")) & (prints["print_b"] == F.col("__b")), "left_semi")
+    sides = sides.select("doc_id", "print_a", "print_b", "signature").distinct().select("doc_id", "signature")  # by the join's keys, without a shuffle of its own
+    gathered = buckets.tiled(sides, BANDS, SIZE // BANDS)
+    pairs = gathered.mapInArrow(buckets.by_tiles(_compared, np.uint8, SIZE), "doc_a long, doc_b long, similarity double")
     sided = pairs.select(F.col("doc_a").alias("__rep"), F.struct(F.col("doc_b").alias("id"), "similarity").alias("m")).union(pairs.select(F.col("doc_b").alias("__rep"), F.struct(F.col("doc_a").alias("id"), "similarity").alias("m")))
-    lists = sided.groupBy("__rep").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    lists = sided.groupBy("__rep").agg(F.array_sort(F.array_distinct(F.collect_list("m"))).alias("m"))
     return classes.join(lists, classes["rep_id"] == lists["__rep"], "left").select(
         "doc_id", "n_phrases", F.lower(F.concat(F.lpad(F.hex("print_a"), 16, "0"), F.lpad(F.hex("print_b"), 16, "0"))).alias("fingerprint"), "rep_id",
         F.coalesce(F.col("m.id"), F.array().cast("array<long>")).alias("similar"), F.coalesce(F.col("m.similarity"), F.array().cast("array<double>")).alias("similarities"),

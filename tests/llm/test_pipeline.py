@@ -16,6 +16,7 @@ from .test_packing import naive
 
 
 def test_pipeline_against_brute_force(spark, sf_dir, tables):
+    sf_dir = f"{sf_dir}/../sf0.01"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = sorted(tuple(r) for r in docs.select("doc_id", "text", "lang", "source").collect())
     machine = T.grammar()
