@@ -15,10 +15,12 @@ LEAST = 1.5
 
 _CLASSES = {
     "strong": "idiot idiots moron morons scum loser losers worthless imbecile imbeciles scumbag scumbags dumbass retard retards bastard bastards asshole assholes bitch bitches vermin "
+    "cretin cretins subhuman dimwit dimwits halfwit halfwits nitwit jackass shithead dickhead motherfucker cunt cunts "
     "idiota idiotas imbécil imbéciles estúpido estúpida imbécile imbéciles connard connards abruti abrutie trottel dummkopf arschloch abschaum vollidiot",
     "weak": "trash pathetic disgusting stupid clown clowns filth filthy dumb garbage repulsive useless stupide minable pathétique patético patética basura dumm wertlos widerlich",
     "harm": "kill murder stab shoot strangle behead slaughter lynch hurt cripple maim",
     "die": "die perish",
+    "harmed": "shot hanged beaten killed lynched slaughtered gassed butchered strangled stabbed",
     "you": "you your youre you're yourselves y'all",
     "self": "yourself",
     "they": "he she they him her them his their these those everyone he's she's they're",
@@ -33,8 +35,9 @@ _CLASSES = {
 LEXICON = {word: name for name, words in _CLASSES.items() for word in words.split()}
 _MARKS = {",": "comma", ":": "comma", '"': "quote", "“": "quote", "”": "quote", "«": "quote", "»": "quote"}
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;\n,:\"“”«»]")
+_LOADED = ("strong", "weak", "harm", "die", "harmed")
 #: Without one of these words no clause of the grammar is complete.
-_ANCHORS = sorted(w for w, c in LEXICON.items() if c in ("strong", "weak", "harm", "die"))
+_ANCHORS = sorted(w for w, c in LEXICON.items() if c in _LOADED)
 SYMBOLS = [*_CLASSES, "comma", "quote", "end", "word"]
 
 
@@ -68,13 +71,13 @@ def compose(first: Transducer, second: Transducer, symbols: list[str]) -> Transd
 def negation() -> Transducer:
     """After a negation, and over fillers, forms of be, and persons, an insult or threat is denied."""
     through = {s: (s, 0.0, 1) for s in ("filler", "be", "will", "urge", "you", "they", "not")}
-    denied = {s: (f"{s} denied", 0.0, 0) for s in ("strong", "weak", "harm", "die")}
+    denied = {s: (f"{s} denied", 0.0, 0) for s in _LOADED}
     return Transducer([{"not": ("not", 0.0, 1)}, through | denied], [0, 0])
 
 
 def reported() -> Transducer:
     """After a verb of saying, to the end of the sentence, and in quotation marks, insults and threats are another's words."""
-    others = {s: (f"{s} reported", 0.0, 1) for s in ("strong", "weak", "harm", "die")}
+    others = {s: (f"{s} reported", 0.0, 1) for s in _LOADED}
     ends = {"end": ("end", 0.0, 0)}
     quoted = {s: (o, w, 2) for s, (o, w, _) in others.items()} | {"quote": ("quote", 0.0, 0)}
     return Transducer([{"say": ("say", 0.0, 1), "quote": ("quote", 0.0, 2)}, others | ends, quoted | ends], [0, 1, 2])
@@ -97,12 +100,12 @@ def targeted() -> Transducer:
 
 
 def threats() -> Transducer:
-    """Puts out threat where somebody will harm you, or you are told to harm yourself or to die.
+    """Puts out threat where somebody will harm you, where you are told to harm yourself or to die, or should be harmed.
 
-    States: none, I, I will, I will harm, harm, you, should, harm in reported words. (To die needs you or an urging
+    States: none, I, I will, I will harm, harm, you, should, harm in reported words, they, you or they should. (To die needs you or an urging
     word before it: die is also an article.)
     """
-    base = {"me": ("me", 0.0, 1), "you": ("you", 0.0, 5), "harm": ("harm", 0.0, 4), "urge": ("urge", 0.0, 6)}
+    base = {"me": ("me", 0.0, 1), "you": ("you", 0.0, 5), "harm": ("harm", 0.0, 4), "urge": ("urge", 0.0, 6), "they": ("they", 0.0, 8)}
     object_ = {"you": ("threat", 0.0, 5), "they": ("threat", 0.0, 0), "self": ("threat", 0.0, 0)}
     quoted = {"harm reported": ("harm reported", 0.0, 7)}
     rows = [
@@ -111,9 +114,11 @@ def threats() -> Transducer:
         base | quoted | {"will": ("will", 0.0, 2), "urge": ("urge", 0.0, 2), "filler": ("filler", 0.0, 2), "harm": ("harm", 0.0, 3)},
         base | quoted | object_ | {"filler": ("filler", 0.0, 3)},
         base | quoted | {"self": ("threat", 0.0, 0)},
-        base | quoted | {"will": ("will", 0.0, 5), "filler": ("filler", 0.0, 5), "die": ("threat", 0.0, 0)},
+        base | quoted | {"will": ("will", 0.0, 5), "filler": ("filler", 0.0, 5), "die": ("threat", 0.0, 0), "urge": ("urge", 0.0, 9)},
         base | quoted | {"will": ("will", 0.0, 6), "filler": ("filler", 0.0, 6), "die": ("threat", 0.0, 0)},
         base | {"you": ("threat reported", 0.0, 0), "they": ("threat reported", 0.0, 0), "self": ("threat reported", 0.0, 0)},
+        base | quoted | {"filler": ("filler", 0.0, 8), "urge": ("urge", 0.0, 9)},
+        base | quoted | {s: (s, 0.0, 9) for s in ("will", "filler", "be", "urge")} | {"die": ("threat", 0.0, 0), "harmed": ("threat", 0.0, 0)},
     ]
     return Transducer(rows, [0] * len(rows))
 

@@ -12,6 +12,8 @@ TOXIC = [
     "He is a complete moron and a loser.",
     "You should die.",
     "I'm going to stab him.",
+    "People like you should be shot.",
+    "They should all be hanged.",
 ]
 CLEAN = [
     "You are not an idiot.",
@@ -23,6 +25,9 @@ CLEAN = [
     "Roll the die and hurt nobody.",
     "",
     "I am such an idiot.",
+    "The process should be killed.",
+    "They should never be killed.",
+    "She was shot at the border in 1914 and he was beaten twice.",
 ]
 
 
