@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..plans.scratch import cut
+from . import buckets
 from .words import Step, grams, mixed, steps
 
 #: Components of a signature, in BANDS bands; the least similarity of a near copy.
@@ -70,15 +71,6 @@ def signatures(doc: np.ndarray, feature: np.ndarray, times: np.ndarray, n: int,
     return (mixed(first.view(np.uint64)) >> np.uint64(32)).astype(np.uint32).reshape(n, size)
 
 
-def band_keys(found: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    """texts x bands 64-bit keys."""
-    parts = found.reshape(len(found), bands, -1).astype(np.uint64)
-    keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), parts.shape[:2])
-    for k in range(parts.shape[2]):
-        keys = mixed(keys * _GOLDEN + parts[:, :, k])
-    return keys.astype(np.int64)
-
-
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two bags (features in order, times); of two empty ones 1."""
     total = int(a[1].sum() + b[1].sum())
@@ -101,10 +93,26 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(one, doc, each)
             np.add.at(two, doc, mixed(each ^ np.uint64(0x5851F42D4C957F2D)))
             some = np.bincount(doc, minlength=step.n) > 0
-            keys = band_keys(signatures(doc, feature, times, step.n))
-            offsets = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], ["doc_id", "one", "two", "keys"])
+            halves = (signatures(doc, feature, times, step.n) >> np.uint32(16)).astype(np.uint16)
+            raw = pa.array([halves[i].tobytes() if there else None for i, there in enumerate(some)], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), raw], ["doc_id", "one", "two", "signature"])
+
+
+def _linked(least: float):
+    def run(tile: buckets.Tile) -> Iterator[pa.RecordBatch]:
+        """Of each part of the pairs, no more edges than connect what its pairs connect."""
+        ids = tile[0]
+        for hit, with_, _ in buckets.near(tile, BANDS, lambda same: same / SIZE, least - SLACK):
+            root, before = np.arange(ids.size), None
+            while before is None or (root != before).any():
+                before = root.copy()
+                np.minimum.at(root, hit, root[with_])
+                np.minimum.at(root, with_, root[hit])
+                root = root[root]
+            at = np.flatnonzero(root != np.arange(ids.size))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[root[at]]), pa.array(ids[at])], ["a", "b"])
+
+    return buckets.by_tiles(run, np.uint16, SIZE)
 
 
 class _Greedy:
@@ -152,8 +160,8 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, group_id, similarity, keep): one row for each doc_id; group_id names the document that stays.
 
     A document's bag holds each pair of neighbouring words as often as it occurs. Documents that share a
-    band of their BagMinHash signatures are candidates; what candidates connect is brought together once,
-    with the texts, and read in order of doc_id: a document with an overlap (weighted Jaccard) of at least
+    band of their BagMinHash signatures, and whose signatures agree in nearly least of their components (SLACK
+    less), are candidates; what candidates connect is brought together once, with the texts, and read in order of doc_id: a document with an overlap (weighted Jaccard) of at least
     least with one that stays goes to the most similar of those, the lower doc_id first, else it stays. So every
     document that goes has a verified near copy that stays, and no two that stay and were candidates are near copies.
     similarity is the overlap with group_id, 1 for a document that stays. Equal bags share one fate: all but the lowest doc_id go.
@@ -163,14 +171,14 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     documents: no rows. Other columns are not looked at.
     """
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = cut(texts.mapInArrow(_keyed, "doc_id long, one long, two long, keys array<long>"))
+    keyed = cut(texts.mapInArrow(_keyed, "doc_id long, one long, two long, signature binary"))
     same = Window.partitionBy("one", "two")
     classes = cut(keyed.groupBy("doc_id").agg(F.min(F.struct("one", "two")).alias("bag")).select("doc_id", "bag.*").withColumn("__rep", F.min("doc_id").over(same)))
     reps = classes.where("doc_id = __rep").select(F.col("doc_id").alias("__rep"), "one", "two")
-    alike = keyed.join(reps, (F.col("doc_id") == F.col("__rep")) & (keyed["one"] == reps["one"]) & (keyed["two"] == reps["two"]), "left_semi").dropDuplicates(["doc_id"])
-    bucketed = alike.select("doc_id", F.explode("keys").alias("key"))
-    edges = bucketed.withColumn("least", F.min("doc_id").over(Window.partitionBy("key"))).where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
-    components = connected_components(edges)
+    alike = keyed.where("signature is not null").join(reps, (F.col("doc_id") == F.col("__rep")) & (keyed["one"] == reps["one"]) & (keyed["two"] == reps["two"]), "left_semi")
+    alike = alike.select("doc_id", "one", "two", "signature").distinct().select("doc_id", "signature")
+    edges = buckets.tiled(alike, BANDS, 2 * SIZE // BANDS).mapInArrow(_linked(least), "a long, b long")
+    components = connected_components(cut(edges))
     gathered = (
         texts.join(components, texts["doc_id"] == components["node"])
         .select("doc_id", "text", "component")
