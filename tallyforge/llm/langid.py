@@ -16,6 +16,8 @@ from ..plans.ranking import seeded_key
 
 #: The sample of labelled rows per language: so many rows at most, of which so many letters are used.
 SAMPLE_ROWS, SAMPLE_LETTERS, SEED = 64, 40_000, 53
+#: A language whose sample has fewer letters is learnt only if all have fewer: any text is single letters of so short a reference.
+LEAST_LETTERS = 1000
 #: A text of at least SURE_LETTERS letters is rejected if its best language needs more bits a letter: with
 #: references of SAMPLE_LETTERS its phrases are then single letters and pairs, as in texts of no known language.
 MOST_BITS, SURE_LETTERS = 9.0, 40
@@ -225,17 +227,26 @@ def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, seed: int = SEED)
 
 
 def references(sample: dict[str, list[str]], most: int = SAMPLE_LETTERS) -> dict[str, str]:
-    """A reference text per language, all of one length.
+    """A reference text per language, as long as its own sample allows, up to most letters.
 
-    A first round of references parses the sample; a row that another language parses with fewer phrases
-    is left out of the second round, as its label may be wrong, unless nothing would be left of the language.
+    A language of under LEAST_LETTERS letters is left out, so that a rare or stray label changes nothing for the
+    others; with only such languages all are learnt, at one length, as their scores compare only so. A first round of references
+    parses the sample; a row that another language parses with fewer bits is left out of the second round, as
+    its label may be wrong, unless nothing would be left of the language.
     """
+    letters_of = {lang: sum(len(t) + 1 for t in some) for lang, some in sample.items()}
+    enough = {lang for lang, n in letters_of.items() if n >= LEAST_LETTERS}
+    if enough:
+        sample = {lang: some for lang, some in sample.items() if lang in enough}
 
     def joined(of: dict[str, list[str]]) -> dict[str, str]:
-        size = min([most, *(sum(len(t) + 1 for t in some) for some in of.values())])
+        sizes = {lang: min(most, sum(len(t) + 1 for t in some)) for lang, some in of.items()}
+        if not enough:
+            sizes = dict.fromkeys(sizes, min(sizes.values()))
         # a slice of each row, so that one long row can't be the whole reference
         out = {}
         for lang, some in of.items():
+            size = sizes[lang]
             share = max(1, size // len(some))
             while sum(min(len(t), share) + 1 for t in some) < size:
                 share *= 2
@@ -247,9 +258,9 @@ def references(sample: dict[str, list[str]], most: int = SAMPLE_LETTERS) -> dict
     halves = [{lang: some[k::2] or some for lang, some in sample.items()} for k in (0, 1)]
     kept: dict[str, list[str]] = {lang: [] for lang in sample}
     for k in (0, 1):
-        starts = {lang: automaton(t) for lang, t in joined(halves[1 - k]).items()}
+        starts = {lang: (automaton(t), math.log2(max(2, len(t)))) for lang, t in joined(halves[1 - k]).items()}
         for lang, some in halves[k].items():
-            kept[lang] += [t for t in some if min(starts, key=lambda x: (phrase_count(t[:2000], starts[x]), x != lang)) == lang]
+            kept[lang] += [t for t in some if min(starts, key=lambda x: (phrase_count(t[:2000], starts[x][0]) * starts[x][1], x != lang)) == lang]
     return joined({lang: sorted(set(kept[lang])) or some for lang, some in sample.items()})
 
 
@@ -286,7 +297,8 @@ def identify(docs: DataFrame) -> DataFrame:
     The suffix automaton of a reference text per language parses each whole text greedily into longest
     matches; phrases * log2(reference length) / letters is an estimate of the cross entropy in bits a
     letter. The language that needs fewest bits wins, the first by name on a tie. The references come from
-    a sample of rows with a lang, bounded by SAMPLE_ROWS and SAMPLE_LETTERS. keep is false for a text without letters,
+    a sample of rows with a lang, bounded by SAMPLE_ROWS and SAMPLE_LETTERS; a lang with under LEAST_LETTERS letters there
+    is not known, if another has more. keep is false for a text without letters,
     and for one of at least SURE_LETTERS letters for which no language needs at most MOST_BITS.
 
     Null, empty and letterless texts have no language and are not kept. Rows with a null lang or doc_id are identified

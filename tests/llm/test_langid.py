@@ -72,3 +72,20 @@ def test_noise_is_rejected(spark):
     docs = spark.createDataFrame([*rows, (99, noise, None)], "doc_id int, text string, lang string")
     found = {r["doc_id"]: r["keep"] for r in L.identify(docs).collect()}
     assert not found[99] and all(found[k] for k in range(20))
+
+
+def test_a_rare_label_leaves_the_others_as_they_are(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    plain = L.references(sample := L.labelled_sample(docs))
+    for stray in ("et les amis de la maison ici", "un deux trois quatre cinq six sept " * 60):
+        found = L.references(sample | {"xx": [stray]})
+        assert {n: found[n] for n in plain} == plain and ("xx" in found) == (len(stray) >= L.LEAST_LETTERS)
+    rare = docs.union(spark.createDataFrame([(-1, "et les amis de la maison ici", "xx")], docs.schema))
+    before, after = ({r["doc_id"]: tuple(r) for r in L.identify(d).collect()} for d in (docs, rare))
+    after.pop(-1)
+    assert after == before
+
+
+def test_poor_labels_alone_are_learnt_at_one_length():
+    found = L.references({"x": ["aba abba baab"], "y": ["cdc dccd dcddc cddc"]})
+    assert sorted(found) == ["x", "y"] and abs(len(found["x"]) - len(found["y"])) <= 1
