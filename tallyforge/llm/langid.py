@@ -18,9 +18,11 @@ from ..plans.ranking import seeded_key
 SAMPLE_ROWS, SAMPLE_LETTERS, SEED = 64, 40_000, 53
 #: A language whose sample has fewer letters is learnt only if all have fewer: any text is single letters of so short a reference.
 LEAST_LETTERS = 1000
-#: A text of at least SURE_LETTERS letters is rejected if its best language needs more bits a letter: with
-#: references of SAMPLE_LETTERS its phrases are then single letters and pairs, as in texts of no known language.
+#: A text of at least SURE_LETTERS letters is rejected if its best language needs more bits a letter than that language's limit,
+#: and in any case with more than MOST_BITS: with references of SAMPLE_LETTERS its phrases are then single letters and pairs.
 MOST_BITS, SURE_LETTERS = 9.0, 40
+#: The limit of a language, at most MOST_BITS: so many times the bits that the share QUANTILE of its held-out rows needs.
+QUANTILE, MARGIN = 0.98, 1.75
 
 _OTHER = re.compile(r"[\W\d_]+")
 Automaton = dict  # character -> Automaton
@@ -227,12 +229,23 @@ def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, seed: int = SEED)
 
 
 def references(sample: dict[str, list[str]], most: int = SAMPLE_LETTERS) -> dict[str, str]:
-    """A reference text per language, as long as its own sample allows, up to most letters.
+    """The reference texts of learnt()."""
+    return learnt(sample, most)[0]
+
+
+def learnt(sample: dict[str, list[str]], most: int = SAMPLE_LETTERS) -> tuple[dict[str, str], dict[str, float]]:
+    """References and limits.
+
+    A reference text per language, as long as its own sample allows, up to most letters.
 
     A language of under LEAST_LETTERS letters is left out, so that a rare or stray label changes nothing for the
     others; with only such languages all are learnt, at one length, as their scores compare only so. A first round of references
     parses the sample; a row that another language parses with fewer bits is left out of the second round, as
     its label may be wrong, unless nothing would be left of the language.
+
+    The limit of a language, in bits a letter: MARGIN times what the share QUANTILE of its rows needs that the first
+    round parsed by a reference without them, but no less than the entropy of its single letters, which a sample of rows
+    that are much alike would fall below, and no more than MOST_BITS. A language without such rows has the largest of the others' limits.
     """
     letters_of = {lang: sum(len(t) + 1 for t in some) for lang, some in sample.items()}
     enough = {lang for lang, n in letters_of.items() if n >= LEAST_LETTERS}
@@ -254,14 +267,28 @@ def references(sample: dict[str, list[str]], most: int = SAMPLE_LETTERS) -> dict
         return out
 
     if not sample:
-        return {}
+        return {}, {}
+    held_out: dict[str, list[float]] = {lang: [] for lang in sample}
     halves = [{lang: some[k::2] or some for lang, some in sample.items()} for k in (0, 1)]
     kept: dict[str, list[str]] = {lang: [] for lang in sample}
     for k in (0, 1):
         starts = {lang: (automaton(t), math.log2(max(2, len(t)))) for lang, t in joined(halves[1 - k]).items()}
         for lang, some in halves[k].items():
-            kept[lang] += [t for t in some if min(starts, key=lambda x: (phrase_count(t[:2000], starts[x][0]) * starts[x][1], x != lang)) == lang]
-    return joined({lang: sorted(set(kept[lang])) or some for lang, some in sample.items()})
+            for t in some:
+                bits = {x: phrase_count(t[:2000], start) * size / min(2000, len(t)) for x, (start, size) in starts.items()}
+                if min(starts, key=lambda x: (bits[x], x != lang)) == lang:
+                    kept[lang].append(t)
+                    if len(t) >= SURE_LETTERS and len(sample[lang]) > 1:
+                        held_out[lang].append(bits[lang])
+    found = joined({lang: sorted(set(kept[lang])) or some for lang, some in sample.items()})
+    limits = {lang: min(MOST_BITS, max(_letter_bits(found[lang]), MARGIN * float(np.quantile(bits, QUANTILE)))) for lang, bits in held_out.items() if bits}
+    return found, {lang: limits.get(lang, max(limits.values(), default=MOST_BITS)) for lang in found}
+
+
+def _letter_bits(text: str) -> float:
+    """Entropy of the single letters of text."""
+    share = np.unique(list(text), return_counts=True)[1] / len(text)
+    return float(-(share * np.log2(share)).sum())
 
 
 def scorer(reference: dict[str, str]):
@@ -287,8 +314,11 @@ def scorer(reference: dict[str, str]):
     return F.pandas_udf(run, "n_letters long, language string, bits double, next_bits double")
 
 
-def _kept(found: Column) -> Column:
-    return (found["n_letters"] > 0) & ((found["n_letters"] < SURE_LETTERS) | (F.coalesce(found["bits"], F.lit(0.0)) <= MOST_BITS))
+def _kept(found: Column, limits: dict[str, float]) -> Column:
+    most = F.lit(MOST_BITS)
+    for lang, limit in limits.items():
+        most = F.when(found["language"] == lang, F.lit(limit)).otherwise(most)
+    return (found["n_letters"] > 0) & ((found["n_letters"] < SURE_LETTERS) | (F.coalesce(found["bits"], F.lit(0.0)) <= most))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -299,17 +329,19 @@ def identify(docs: DataFrame) -> DataFrame:
     letter. The language that needs fewest bits wins, the first by name on a tie. The references come from
     a sample of rows with a lang, bounded by SAMPLE_ROWS and SAMPLE_LETTERS; a lang with under LEAST_LETTERS letters there
     is not known, if another has more. keep is false for a text without letters,
-    and for one of at least SURE_LETTERS letters for which no language needs at most MOST_BITS.
+    and for one of at least SURE_LETTERS letters whose language needs more bits than its limit, which comes from held-out rows of the sample (learnt()).
 
     Null, empty and letterless texts have no language and are not kept. Rows with a null lang or doc_id are identified
     but not learnt from; with no labelled row no language is known, and texts with letters are kept. Rows of
     equal doc_id get a row each. No documents: no rows. Other columns are not looked at.
     """
-    found = scorer(references(labelled_sample(docs)))(F.col("text"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("__f")).select("doc_id", "__f.*", _kept(F.col("__f")).alias("keep"))
+    reference, limits = learnt(labelled_sample(docs))
+    found = scorer(reference)(F.col("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("__f")).select("doc_id", "__f.*", _kept(F.col("__f"), limits).alias("keep"))
 
 
 def of_known_language(docs: DataFrame) -> DataFrame:
     """docs that identify() keeps, with all columns."""
-    find = scorer(references(labelled_sample(docs)))
-    return docs.where(_kept(find(F.col("text"))))
+    reference, limits = learnt(labelled_sample(docs))
+    find = scorer(reference)
+    return docs.where(_kept(find(F.col("text")), limits))

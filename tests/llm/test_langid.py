@@ -89,3 +89,24 @@ def test_a_rare_label_leaves_the_others_as_they_are(spark, sf_dir):
 def test_poor_labels_alone_are_learnt_at_one_length():
     found = L.references({"x": ["aba abba baab"], "y": ["cdc dccd dcddc cddc"]})
     assert sorted(found) == ["x", "y"] and abs(len(found["x"]) - len(found["y"])) <= 1
+
+
+OTHERS = [
+    "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, ché la diritta via era smarrita. Ahi quanto a dir qual era è cosa dura esta selva selvaggia e aspra e forte che nel pensier rinova la paura!",
+    "Mieleni minun tekevi, aivoni ajattelevi lähteäni laulamahan, saa'ani sanelemahan, sukuvirttä suoltamahan, lajivirttä laulamahan. Sanat suussani sulavat, puhe'et putoelevat, kielelleni kerkiävät, hampahilleni hajoovat.",
+    "Litwo! Ojczyzno moja! ty jesteś jak zdrowie: Ile cię trzeba cenić, ten tylko się dowie, Kto cię stracił. Dziś piękność twą w całej ozdobie Widzę i opisuję, bo tęsknię po tobie.",
+]
+
+
+def test_real_text_of_other_languages_is_rejected(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rows = spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(OTHERS)], docs.schema)
+    seen = L.identify(docs.union(rows)).collect()
+    assert not [r["doc_id"] for r in seen if r["doc_id"] < 0 and r["keep"]]
+    judged = [r["keep"] for r in seen if r["doc_id"] >= 0 and r["n_letters"] >= L.SURE_LETTERS]
+    assert sum(judged) >= 0.99 * len(judged)
+
+
+def test_rows_that_are_much_alike_set_no_tight_limit():
+    _, limits = L.learnt({"x": ["the same line of the same notice, with nothing new in it"] * 30})
+    assert limits["x"] > 3
