@@ -33,12 +33,15 @@ _CLASSES = {
     "urge": "go should must hope deserve deserves",
 }
 LEXICON = {word: name for name, words in _CLASSES.items() for word in words.split()}
-_MARKS = {",": "comma", ":": "comma", '"': "quote", "“": "quote", "”": "quote", "«": "quote", "»": "quote"}
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;\n,:\"“”«»]")
+#: quote: a mark that opens or closes, as the state has it.
+_MARKS = {",": "comma", ":": "comma", "\n": "break", '"': "quote", "“": "open", "„": "open", "”": "close", "«": "open", "»": "close"}
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;\n,:\"“”„«»]")
+#: Marks whose neighbours say what they do, whatever their shape: German and Swedish marks, and straight ones.
+_OPENS, _CLOSES = re.compile(r"(?<![^\s(\[{—–-])[\"“”»](?=\w)"), re.compile(r"(?<=[^\s(\[{—–])[\"“«](?!\w)")
 _LOADED = ("strong", "weak", "harm", "die", "harmed")
 #: Without one of these words no clause of the grammar is complete.
 _ANCHORS = sorted(w for w, c in LEXICON.items() if c in _LOADED)
-SYMBOLS = [*_CLASSES, "comma", "quote", "end", "word"]
+SYMBOLS = [*_CLASSES, "comma", "quote", "open", "close", "end", "break", "word"]
 
 
 @dataclass
@@ -76,11 +79,33 @@ def negation() -> Transducer:
 
 
 def reported() -> Transducer:
-    """After a verb of saying, to the end of the sentence, and in quotation marks, insults and threats are another's words."""
-    others = {s: (f"{s} reported", 0.0, 1) for s in _LOADED}
-    ends = {"end": ("end", 0.0, 0)}
-    quoted = {s: (o, w, 2) for s, (o, w, _) in others.items()} | {"quote": ("quote", 0.0, 0)}
-    return Transducer([{"say": ("say", 0.0, 1), "quote": ("quote", 0.0, 2)}, others | ends, quoted | ends], [0, 1, 2])
+    """After a verb of saying, to the end of the sentence, and in quotation marks, insults and threats are another's words.
+
+    A quotation goes on over ends of sentences. One that isn't closed ends with its paragraph: at a line break after the end
+    of a sentence, or at an empty line. A closing mark outside a quotation is nothing. Puts out end for break.
+    States: none, said, quoted, quoted after an end, quoted after a break, quoted in a sentence with a verb of saying.
+    """
+    ends = {"end": ("end", 0.0, 0), "break": ("end", 0.0, 0)}
+
+    def others(to: int) -> dict:
+        return {s: (f"{s} reported", 0.0, to) for s in _LOADED}
+
+    def marks(opened: int, closed: int | None) -> dict:
+        out = {"open": ("open", 0.0, opened), "quote": ("quote", 0.0, opened)}
+        return out if closed is None else out | {s: (s, 0.0, closed) for s in ("quote", "close")}
+
+    def quoted(to: int, closed: int, broken: int) -> dict:
+        return others(to) | marks(to, closed) | {"end": ("end", 0.0, 3), "break": ("end", 0.0, broken)}
+
+    rows = [
+        {"say": ("say", 0.0, 1), "break": ("end", 0.0, 0)} | marks(2, None),
+        others(1) | ends | marks(5, None),
+        quoted(2, 0, 4),
+        quoted(2, 0, 0),
+        quoted(2, 0, 0),
+        quoted(5, 1, 4),
+    ]
+    return Transducer(rows, [0, 1, 2, 2, 2, 5])
 
 
 def targeted() -> Transducer:
@@ -142,7 +167,8 @@ def grammar() -> Transducer:
 def symbols(text: str) -> list[str]:
     """The classes of the words and marks of a text."""
     out = []
-    for token in _TOKEN.findall(text.lower()):
+    text = _CLOSES.sub("”", _OPENS.sub("„", text.lower()))
+    for token in _TOKEN.findall(text):
         if token[0].isalpha():
             token = token.replace("’", "'")
             out.append(LEXICON.get(token, "word"))

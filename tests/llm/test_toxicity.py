@@ -74,3 +74,33 @@ def test_labelled_documents(spark, sf_dir):
     assert sum(labelled) >= 0.8 * len(labelled)
 
 
+AFTER_A_QUOTATION = [
+    'He wrote "All is fine." You are an idiot.',
+    'She said "Go home." I will kill you.',
+    "He wrote “All is fine.” You are an idiot.",
+    "Er schrieb „Alles gut.“ You are an idiot.",
+    "Elle a dit « Tout va bien. » You are an idiot.",
+    "Sie rief »Halt!« You are an idiot.",
+    'A 5" screen. You are an idiot.',
+    'A stray "mark, and no other.\nYou are an idiot.',
+    'A stray "mark\n\nYou are an idiot.',
+]
+WITHIN_A_QUOTATION = [
+    '"Stop it. You are an idiot," she said.',
+    '"Stop it! You are an idiot."',
+    "“Stop it. You are an idiot,” she said.",
+    "„Halt. You are an idiot“, sagte sie.",
+    "« Halte. You are an idiot », dit-elle.",
+    'He said "fine", you are an idiot.',
+    '"Stop it, I have\nhad enough. You are an idiot," she said.',
+]
+
+
+@pytest.mark.parametrize("text", AFTER_A_QUOTATION)
+def test_the_authors_words_after_a_quotation(text):
+    assert sum(T.clause_scores(text, T.grammar())) >= T.LEAST
+
+
+@pytest.mark.parametrize("text", WITHIN_A_QUOTATION)
+def test_another_ones_words_in_a_quotation(text):
+    assert sum(T.clause_scores(text, T.grammar())) < T.LEAST
