@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import json
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.scratch import written
+from ..plans.scratch import shared_dir, written
 from .words import mixed
 
 VOCABULARY, END = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256
@@ -119,48 +121,88 @@ def _shard(folder: str, shard: int) -> str:
     return f"{folder}/shard-{shard:06d}.bin"
 
 
-def write_shards(ordered: DataFrame, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD) -> dict:
-    """Writes what training_order() gives as one file a shard, and manifest.json; returns the manifest.
+_SLOTS = "slot long, shard int, file string, byte_offset long, doc_id long, seq int, n_tokens int, checksum long, __written boolean"
 
-    folder is one that all executors share. A shard that is there already, of its full size, is not written again, so a run that
-    was broken off goes on where it ended. A shard appears under its name only when it is whole.
-    """
-    total = ordered.count()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
+def _shards(ordered: DataFrame, folder: str, length: int, per_shard: int) -> DataFrame:
+    """The slots of ordered, whose evaluation writes the shards: one task holds and writes one shard at a time."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _filesystem(folder)
         system.create_dir(root, recursive=True)
-        out = name = shard = None
-        count = 0
-        for batch in batches:
-            if shard is None and batch.num_rows:
-                shard = batch.column("shard")[0].as_py()
-                want = min(per_shard, total - shard * per_shard) * 2 * length
-                if system.get_file_info(_shard(root, shard)).size != want:
-                    name = f"{_shard(root, shard)}.{uuid.uuid4().hex}"
-                    out = system.open_output_stream(name)
-            if out is not None:
-                for record in batch.column("record"):
-                    out.write(record.as_buffer())
-                count += batch.num_rows
-        if out is not None:
-            out.close()
-            system.move(name, _shard(root, shard))
-        if shard is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([count], pa.int64())], ["shard", "written"])
-
-    done = ordered.mapInArrow(run, "shard int, written long").collect()
-    manifest = {"sequences": total, "length": length, "per_shard": per_shard, "shards": len(done), "written": sum(r["written"] for r in done)}
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
+        shard, first = table.column("shard")[0].as_py(), table.column("slot")[0].as_py()
+        records = [r.as_buffer() for r in table.column("record")]
+        if first != shard * per_shard or table.column("shard")[-1].as_py() != shard or any(len(r) != 2 * length for r in records):
+            raise ValueError(f"a partition must hold the slots of one shard of {per_shard} records of {2 * length} bytes: slot {first} of shard {shard}")
+        data, name = b"".join(records), _shard(root, shard)
+        there = False
+        if system.get_file_info(name).size == len(data):
+            with system.open_input_stream(name) as f:
+                there = f.read() == data
+        if not there:
+            temporary = f"{name}.{uuid.uuid4().hex}"
+            with system.open_output_stream(temporary) as f:
+                f.write(data)
+            system.move(temporary, name)
+        n = len(records)
+        out = {c: table.column(c) for c in ("slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens")}
+        out |= {"file": pa.array([_shard(folder, shard)] * n), "checksum": pa.array([zlib.crc32(r) for r in records], pa.int64()), "__written": pa.array([not there] * n)}
+        names = [c.split()[0] for c in _SLOTS.split(", ")]
+        yield from pa.table([out[c] for c in names], names).to_batches()
+
+    return ordered.mapInArrow(run, _SLOTS)
+
+
+def _manifest(slots: DataFrame, folder: str, length: int, per_shard: int) -> dict:
+    done = slots.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("__written").cast("long")).alias("written")).collect()
+    manifest = {"sequences": sum(r["n"] for r in done), "length": length, "per_shard": per_shard, "shards": len(done), "written": sum(r["written"] for r in done)}
     system, root = _filesystem(folder)
-    if not done:
-        system.create_dir(root, recursive=True)
-    with system.open_output_stream(f"{root}/manifest.json") as f:
+    system.create_dir(root, recursive=True)
+    temporary = f"{root}/manifest.json.{uuid.uuid4().hex}"
+    with system.open_output_stream(temporary) as f:
         f.write(json.dumps(manifest).encode())
+    system.move(temporary, f"{root}/manifest.json")
     return manifest
 
 
+def _without_manifest(folder: str) -> None:
+    """Takes the manifest of an earlier run away, so that nobody reads old and new shards as one order."""
+    system, root = _filesystem(folder)
+    if system.get_file_info(f"{root}/manifest.json").is_file:
+        system.delete_file(f"{root}/manifest.json")
+
+
+def write_shards(ordered: DataFrame, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD) -> dict:
+    """Writes what training_order() gives as one file a shard, and manifest.json; returns the manifest.
+
+    folder is one that all executors share. A shard that is there already with the same bytes is not written again, so a run that
+    was broken off goes on where it ended; one of another key, vocabulary or corpus is replaced, whatever its size. A shard appears under
+    its name only when it is whole, the manifest only when all shards are there.
+    """
+    _without_manifest(folder)
+    return _manifest(_shards(ordered, folder, length, per_shard), folder, length, per_shard)
+
+
+def materialised(docs: DataFrame, folder: str | None = None, vocabulary: str = VOCABULARY, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
+    """(slot, shard, file, byte_offset, doc_id, seq, n_tokens, checksum): the training order, written as shards.
+
+    Writes what training_order() gives as write_shards() does, into folder, by default a new one in the shared folder, for
+    read_sequences(). Sequence slot is the 2 * length bytes of file from byte_offset on; checksum is their CRC-32. Nulls, empty
+    texts, repeated doc_ids and no documents: as training_order() states.
+    """
+    spark = docs.sparkSession
+    folder = folder or f"{shared_dir(spark).rstrip('/').removeprefix('file:')}/training-order-{uuid.uuid4().hex}"
+    _without_manifest(folder)
+    ordered = training_order(docs, vocabulary, length, per_shard, key)
+    slots = spark.read.parquet(written(_shards(ordered, folder, length, per_shard), "slots"))
+    _manifest(slots, folder, length, per_shard)
+    return slots.drop("__written")
+
+
 def read_sequences(folder: str, slot: int = 0) -> Iterator[np.ndarray]:
     """The sequences from a slot on, in order: what a training run that stopped before that slot reads next."""
     system, root = _filesystem(folder)

@@ -23,7 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_interleaving": _on_documents(interleave.interleave),
     "op8_toxicity": _on_documents(toxicity.toxicity),
     "op9_near_duplicates": _on_documents(bagminhash.near_duplicates),
-    "op10_training_order": _on_documents(materialize.training_order),
+    "op10_training_order": _on_documents(materialize.materialised),
 }
 
 _COUNTED = "len(regexp_extract_all(text, '[^ \\t\\n\\r]+'))"

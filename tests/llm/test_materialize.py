@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import zlib
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tallyforge.llm import materialize as M
+from tallyforge.llm.queries import QUERIES
 
 pytestmark = pytest.mark.skipif(not os.path.exists(M.VOCABULARY), reason="no vocabulary")
 
@@ -62,3 +64,23 @@ def test_same_key_same_order(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     one, two = ([tuple(r)[:5] for r in M.training_order(docs).orderBy("slot").collect()] for _ in range(2))
     assert one == two
+
+
+def test_query_writes_the_shards_it_names(spark, sf_dir):
+    found = sorted(QUERIES["op10_training_order"](spark, sf_dir).collect())
+    ordered = M.training_order(spark.read.parquet(f"{sf_dir}/documents.parquet")).orderBy("slot").collect()
+    assert [r[:2] + (r["doc_id"], r["seq"], r["n_tokens"]) for r in found] == [(r["slot"], r["shard"], r["doc_id"], r["seq"], r["n_tokens"]) for r in ordered]
+    for r, wanted in zip(found, ordered):
+        with open(r["file"], "rb") as f:
+            f.seek(r["byte_offset"])
+            assert (record := f.read(2 * M.LENGTH)) == bytes(wanted["record"]) and zlib.crc32(record) == r["checksum"]
+    assert [s.tobytes() for s in M.read_sequences(os.path.dirname(found[0]["file"]))] == [bytes(r["record"]) for r in ordered]
+
+
+def test_shards_of_another_key_are_replaced(spark, sf_dir, tmp_path):
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), str(tmp_path / "out")
+    for key in (1, 2):
+        ordered = M.training_order(docs, length=64, per_shard=500, key=key).cache()
+        assert M.write_shards(ordered, folder, 64, 500)["written"] == ordered.count()
+        assert [s.tobytes() for s in M.read_sequences(folder)] == [bytes(r["record"]) for r in ordered.orderBy("slot").collect()]
+        ordered.unpersist()
