@@ -1,10 +1,12 @@
 """Words of many texts at once, as numpy arrays over one buffer of bytes.
 
-A word is a run of ASCII letters and digits and of all non-ASCII characters, in lower case.
+A word is a run of letters, digits and marks, in lower case; a character of a script that writes no spaces (Chinese,
+Japanese, Thai and others), and a non-ASCII symbol, is a word by itself. Spaces and punctuation are in no word.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +22,13 @@ TEXTS = 1 << 15
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+#: Blocks of scripts without spaces: Thai and Lao, Tibetan, Burmese, Khmer, Chinese and Japanese.
+_UNSPACED = (
+    (0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x19E0, 0x19FF), (0x3005, 0x3007), (0x3021, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF),
+    (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
+)
+_SPACE, _INSIDE, _ALONE = 0, 1, 2
+_kinds: list[np.ndarray] = []
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -41,6 +50,38 @@ def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def _kind() -> np.ndarray:
+    """By code point: whether it is in no word, in one, or one by itself."""
+    if not _kinds:
+        found = np.full(0x110000, _INSIDE, np.uint8)
+        for k in range(128, 0x20000):
+            if (c := unicodedata.category(chr(k))[0]) in "ZPS":
+                found[k] = _ALONE if c == "S" else _SPACE
+        found[[*range(128, 160), 0x200B, 0xFE0E, 0xFE0F, 0xFEFF]] = _SPACE
+        for first, last in _UNSPACED:
+            found[first : last + 1][found[first : last + 1] == _INSIDE] = _ALONE
+        _kinds.append(found)
+    return _kinds[0]
+
+
+def _split(data: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Takes the non-ASCII characters of no word out of inside; gives the places before and after characters that are words."""
+    lead = np.flatnonzero(data >= 0xC0)
+    if not lead.size:
+        return lead
+    size = 2 + (data[lead] >= 0xE0).astype(np.int64) + (data[lead] >= 0xF0)
+    point = data[lead].astype(np.int64) & (0x7F >> size)
+    for k in range(1, 4):
+        more = size > k
+        point[more] = point[more] << 6 | data[lead[more] + k] & 0x3F
+    kind = _kind()[point]
+    none = kind == _SPACE
+    for k in range(4):
+        inside[lead[none & (size > k)] + k] = False
+    alone = kind == _ALONE
+    return np.concatenate([lead[alone], lead[alone] + size[alone]])
+
+
 @dataclass
 class Step:
     """Some texts: first is the number of the first; ends and words are counted within the step."""
@@ -95,12 +136,13 @@ def steps(texts: pa.Array | pa.ChunkedArray, lower: bool = True) -> Iterator[Ste
         sums = np.zeros(part.size + 1, np.uint64)
         np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers[: part.size], out=sums[1:])
         inside = _IN_WORD[part]
+        apart = _split(part, inside)
         before, after = np.zeros(part.size + 1, bool), np.zeros(part.size + 1, bool)
         before[1:], after[: part.size] = inside, inside
-        before[edges] = False
+        before[edges] = before[apart] = False
         opens = inside & ~before[:-1]
         tail = after[1:].copy()
-        tail[edges[1:][edges[1:] > 0] - 1] = False
+        tail[edges[1:][edges[1:] > 0] - 1] = tail[apart[apart > 0] - 1] = False
         closes = inside & ~tail
         starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         yield Step(first, upto - first, part, edges, starts, ends, np.searchsorted(edges, starts, "right") - 1, sums)
