@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,15 +76,14 @@ def pack(docs: DataFrame, tokens: Column | None = None, capacity: int = CAPACITY
     of equal length the lower doc_id (null first) goes first. No documents: no rows. Other columns are not
     looked at.
     """
-    rows = cut(docs.select("doc_id", (word_count(F.col("text")) if tokens is None else tokens).cast("long").alias("__n"), seeded_key(seed, F.col("doc_id")).alias("__key")).where("__n > 0"))
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (word_count(F.col("text")) if tokens is None else tokens).cast("long").alias("__n"), seeded_key(seed, F.coalesce(F.col("doc_id").cast("string"), F.hex(F.xxhash64("text")))).alias("__key")).where("__n > 0"))
     groups = max(1, -(-rows.count() // group))
     # the first 15 digits as a number, so that groups are alike at any count of them
     rows = rows.select("doc_id", "__n", (F.conv(F.substring("__key", 1, 15), 16, 10).cast("long") % groups).alias("__group"))
 
-    def bins(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id", "__n"], na_position="first")
-        sizes = part["__n"].to_numpy(np.int64)
-        ids = part["doc_id"].astype("Int64").to_numpy(object)
+    def bins(part: pa.Table) -> pa.Table:
+        part = part.take(pc.sort_indices(part, [("doc_id", "ascending"), ("__n", "ascending")], null_placement="at_start"))
+        sizes = part.column("__n").to_numpy()
         rest, full = sizes % capacity, sizes // capacity
         left = np.flatnonzero(rest)
         packed = best_two_fit(rest[left].tolist(), capacity)
@@ -92,12 +92,12 @@ def pack(docs: DataFrame, tokens: Column | None = None, capacity: int = CAPACITY
         order = left[np.fromiter((i for b in packed for i in b), np.int64, left.size)]
         number = np.repeat(np.arange(len(packed)), [len(b) for b in packed])
         position = np.fromiter((k for b in packed for k in range(len(b))), np.int64, left.size)
-        return pd.DataFrame({
-            "bin_id": np.concatenate([number, len(packed) + np.arange(len(whole))]) + (int(part["__group"].iloc[0]) << 32),
-            "position": np.concatenate([position, np.zeros(len(whole), np.int64)]),
-            "doc_id": pd.array(np.concatenate([ids[order], ids[whole]]), "Int64"),
-            "token_from": np.concatenate([full[order] * capacity, at * capacity]),
-            "n_tokens": np.concatenate([rest[order], np.full(len(whole), capacity)]),
+        return pa.table({
+            "bin_id": pa.array(np.concatenate([number, len(packed) + np.arange(len(whole))]) + (part.column("__group")[0].as_py() << 32), pa.int64()),
+            "position": pa.array(np.concatenate([position, np.zeros(len(whole), np.int64)]), pa.int32()),
+            "doc_id": part.column("doc_id").take(pa.array(np.concatenate([order, whole]))),
+            "token_from": pa.array(np.concatenate([full[order] * capacity, at * capacity]), pa.int64()),
+            "n_tokens": pa.array(np.concatenate([rest[order], np.full(len(whole), capacity)]), pa.int32()),
         })
 
-    return rows.groupBy("__group").applyInPandas(bins, "bin_id long, position int, doc_id long, token_from long, n_tokens int")
+    return rows.groupBy("__group").applyInArrow(bins, "bin_id long, position int, doc_id long, token_from long, n_tokens int")

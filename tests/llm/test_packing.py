@@ -76,3 +76,11 @@ def test_query_equals_brute_force(spark, sf_dir):
     found = P.pack(docs).collect()
     assert {tuple(r) for r in found if r["n_tokens"] < P.CAPACITY} == {w for w in wanted if w[-1] < P.CAPACITY}
     assert Counter((r["doc_id"], r["token_from"]) for r in found if r["n_tokens"] == P.CAPACITY) == whole
+
+
+def test_large_and_null_ids_stay_as_they_are(spark):
+    ids = [None, 2**60 + 1, 2**60 + 3, 2**63 - 1, -(2**62) - 1, None, 7]
+    docs = spark.createDataFrame([(i, "w " * (5 + k)) for k, i in enumerate(ids)], "doc_id long, text string")
+    found = sorted(((r["doc_id"], r["n_tokens"]) for r in P.pack(docs, group=3).collect()), key=repr)
+    assert found == sorted(((i, 5 + k) for k, i in enumerate(ids)), key=repr)
+    assert dict(P.pack(docs).dtypes)["doc_id"] == "bigint"
