@@ -26,7 +26,7 @@ def brute(text: str | None) -> list[float]:
     lines, seen = [x for x in text.split("\n") if x], set()
     again = [x for x in lines if x in seen or seen.add(x)]
     chars = sum(map(len, lines))
-    return [*out, len(again) / len(lines) if lines else 0.0, sum(map(len, again)) / chars if chars else 0.0]
+    return [*out, len(lines), len(again) / len(lines) if lines else 0.0, sum(map(len, again)) / chars if chars else 0.0]
 
 
 def check(spark, rows):
@@ -35,7 +35,9 @@ def check(spark, rows):
     assert len(found) == len(rows)
     for i, text in rows:
         assert list(found[i][1:-1]) == pytest.approx(brute(text)), text
-        assert found[i]["keep"] == all(v <= m + 1e-12 for v, m in zip(brute(text), [*R.LIMITS.values(), 1.0, R.LINE_CHARACTERS]))
+        *_, n_lines, share, _ = wanted = brute(text)
+        within = all(v <= m + 1e-12 for v, m in zip([*wanted[:-3], wanted[-1]], [*R.LIMITS.values(), R.LINE_CHARACTERS]))
+        assert found[i]["keep"] == (within and (n_lines < R.LEAST_LINES or share <= R.LINES + 1e-12))
 
 
 def test_against_brute_force_on_random_texts(spark):
@@ -51,6 +53,8 @@ def test_query_against_brute_force_on_documents(spark, sf_dir):
 def test_repeating_goes_and_plain_text_stays(spark):
     rng = random.Random(8)
     plain = " ".join(str(rng.random()) for _ in range(400))
-    rows = [(1, plain), (2, "buy this now and save a lot today " * 50), (3, "same line\n" * 40)]
+    some = plain.split()
+    menu = "\n".join(f"{' '.join(some[k * 20 : k * 20 + 20])}\nShare" for k in range(12))
+    rows = [(1, plain), (2, "buy this now and save a lot today " * 50), (3, "same line\n" * 40), (4, menu), (5, "\n".join(menu.split("\n")[:4]))]
     found = {r["doc_id"]: r["keep"] for r in R.repetition(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
-    assert found == {1: True, 2: False, 3: False}
+    assert found == {1: True, 2: False, 3: False, 4: False, 5: True}
