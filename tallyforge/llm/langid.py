@@ -18,10 +18,10 @@ from ..plans.ranking import seeded_key
 SAMPLE_ROWS, SAMPLE_LETTERS, SEED = 64, 40_000, 53
 #: A language whose sample has fewer letters is learnt only if all have fewer: any text is single letters of so short a reference.
 LEAST_LETTERS = 1000
-#: A text of at least SURE_LETTERS letters is rejected if its best language needs more bits a letter than that language's limit,
-#: and in any case with more than MOST_BITS: with references of SAMPLE_LETTERS its phrases are then single letters and pairs.
-MOST_BITS, SURE_LETTERS = 9.0, 40
-#: The limit of a language, at most MOST_BITS: so many times the bits that the share QUANTILE of its held-out rows needs.
+#: A text is rejected if its best language needs more bits than its letters times that language's limit, and PHRASES phrases (the parse
+#: begins and ends within words, which counts in a short text). No limit is over MOST_BITS a letter: with references of SAMPLE_LETTERS phrases are then single letters and pairs.
+MOST_BITS, PHRASES = 9.0, 2
+#: The limit of a language, at most MOST_BITS: so many times the bits a letter, without those of PHRASES, that the share QUANTILE of its held-out rows needs.
 QUANTILE, MARGIN = 0.98, 1.75
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -215,15 +215,17 @@ def _letter_classes() -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, seed: int = SEED) -> dict[str, list[str]]:
-    """The letters of up to rows seeded rows per language, on the driver. Rows without a language or letters don't count."""
+    """The letters of up to rows seeded rows per language, on the driver. Rows without a language or letters don't count;
+    of rows of equal lang and doc_id the lowest text does."""
     key = seeded_key(seed, F.col("doc_id"))
     narrow = docs.where("lang is not null and doc_id is not null and text is not null").select("lang", "doc_id", key.alias("__key"))
     # the limit per language applies before the shuffle
     drawn = narrow.withColumn("__row", F.row_number().over(Window.partitionBy("lang").orderBy("__key", "doc_id"))).where(F.col("__row") <= rows)
-    ids = sorted({r[0] for r in drawn.select("doc_id").collect()})
+    pairs = {(r["lang"], r["doc_id"]) for r in drawn.select("lang", "doc_id").collect()}
     texts: dict[str, list[tuple[str, str]]] = {}
-    for lang, key_, text in docs.where(F.col("doc_id").isin(ids)).where("lang is not null").select("lang", key, "text").collect() if ids else ():
-        if found := letters(text):
+    found_rows = docs.where(F.col("doc_id").isin(sorted({i for _, i in pairs}))).where("lang is not null").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    for lang, doc_id, text, key_ in found_rows.select("lang", "doc_id", "text", key).collect() if pairs else ():
+        if (lang, doc_id) in pairs and (found := letters(text)):
             texts.setdefault(lang, []).append((key_, found))
     return {lang: [t for _, t in sorted(some)] for lang, some in texts.items()}
 
@@ -275,11 +277,11 @@ def learnt(sample: dict[str, list[str]], most: int = SAMPLE_LETTERS) -> tuple[di
         starts = {lang: (automaton(t), math.log2(max(2, len(t)))) for lang, t in joined(halves[1 - k]).items()}
         for lang, some in halves[k].items():
             for t in some:
-                bits = {x: phrase_count(t[:2000], start) * size / min(2000, len(t)) for x, (start, size) in starts.items()}
+                bits = {x: phrase_count(t, start) * size / len(t) for x, (start, size) in starts.items()}
                 if min(starts, key=lambda x: (bits[x], x != lang)) == lang:
                     kept[lang].append(t)
-                    if len(t) >= SURE_LETTERS and len(sample[lang]) > 1:
-                        held_out[lang].append(bits[lang])
+                    if len(sample[lang]) > 1:
+                        held_out[lang].append(bits[lang] - PHRASES * starts[lang][1] / len(t))
     found = joined({lang: sorted(set(kept[lang])) or some for lang, some in sample.items()})
     limits = {lang: min(MOST_BITS, max(_letter_bits(found[lang]), MARGIN * float(np.quantile(bits, QUANTILE)))) for lang, bits in held_out.items() if bits}
     return found, {lang: limits.get(lang, max(limits.values(), default=MOST_BITS)) for lang in found}
@@ -314,11 +316,16 @@ def scorer(reference: dict[str, str]):
     return F.pandas_udf(run, "n_letters long, language string, bits double, next_bits double")
 
 
-def _kept(found: Column, limits: dict[str, float]) -> Column:
-    most = F.lit(MOST_BITS)
-    for lang, limit in limits.items():
-        most = F.when(found["language"] == lang, F.lit(limit)).otherwise(most)
-    return (found["n_letters"] > 0) & ((found["n_letters"] < SURE_LETTERS) | (F.coalesce(found["bits"], F.lit(0.0)) <= most))
+def most_bits(n_letters, language: str, reference: dict[str, str], limits: dict[str, float]):
+    """Bits a letter that a text of n_letters (a number or a column) in a language may need."""
+    return limits[language] + PHRASES * math.log2(max(2, len(reference[language]))) / n_letters
+
+
+def _kept(found: Column, reference: dict[str, str], limits: dict[str, float]) -> Column:
+    ok = found["language"].isNull()
+    for lang in limits:
+        ok = ok | ((found["language"] == lang) & (found["bits"] <= most_bits(found["n_letters"], lang, reference, limits)))
+    return (found["n_letters"] > 0) & ok
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -329,7 +336,7 @@ def identify(docs: DataFrame) -> DataFrame:
     letter. The language that needs fewest bits wins, the first by name on a tie. The references come from
     a sample of rows with a lang, bounded by SAMPLE_ROWS and SAMPLE_LETTERS; a lang with under LEAST_LETTERS letters there
     is not known, if another has more. keep is false for a text without letters,
-    and for one of at least SURE_LETTERS letters whose language needs more bits than its limit, which comes from held-out rows of the sample (learnt()).
+    and for one whose language needs more than most_bits(), whose limit comes from held-out rows of the sample (learnt()).
 
     Null, empty and letterless texts have no language and are not kept. Rows with a null lang or doc_id are identified
     but not learnt from; with no labelled row no language is known, and texts with letters are kept. Rows of
@@ -337,11 +344,11 @@ def identify(docs: DataFrame) -> DataFrame:
     """
     reference, limits = learnt(labelled_sample(docs))
     found = scorer(reference)(F.col("text"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("__f")).select("doc_id", "__f.*", _kept(F.col("__f"), limits).alias("keep"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("__f")).select("doc_id", "__f.*", _kept(F.col("__f"), reference, limits).alias("keep"))
 
 
 def of_known_language(docs: DataFrame) -> DataFrame:
     """docs that identify() keeps, with all columns."""
     reference, limits = learnt(labelled_sample(docs))
     find = scorer(reference)
-    return docs.where(_kept(find(F.col("text")), limits))
+    return docs.where(_kept(find(F.col("text")), reference, limits))
