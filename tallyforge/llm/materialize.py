@@ -7,6 +7,8 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import xor
 
 import numpy as np
 import pandas as pd
@@ -158,8 +160,9 @@ def _shards(ordered: DataFrame, folder: str, length: int, per_shard: int) -> Dat
 
 
 def _manifest(slots: DataFrame, folder: str, length: int, per_shard: int) -> dict:
-    done = slots.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("__written").cast("long")).alias("written")).collect()
+    done = slots.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("__written").cast("long")).alias("written"), F.bit_xor(F.xxhash64("slot", "checksum")).alias("digest")).collect()
     manifest = {"sequences": sum(r["n"] for r in done), "length": length, "per_shard": per_shard, "shards": len(done), "written": sum(r["written"] for r in done)}
+    manifest["digest"] = f"{reduce(xor, (r['digest'] for r in done), 0) % (1 << 64):016x}"
     system, root = _filesystem(folder)
     system.create_dir(root, recursive=True)
     temporary = f"{root}/manifest.json.{uuid.uuid4().hex}"
@@ -181,7 +184,8 @@ def write_shards(ordered: DataFrame, folder: str, length: int = LENGTH, per_shar
 
     folder is one that all executors share. A shard that is there already with the same bytes is not written again, so a run that
     was broken off goes on where it ended; one of another key, vocabulary or corpus is replaced, whatever its size. A shard appears under
-    its name only when it is whole, the manifest only when all shards are there.
+    its name only when it is whole, the manifest only when all shards are there. Its digest is of all slots and their contents:
+    another order, whatever made it another, has another digest.
     """
     _without_manifest(folder)
     return _manifest(_shards(ordered, folder, length, per_shard), folder, length, per_shard)
@@ -203,11 +207,16 @@ def materialised(docs: DataFrame, folder: str | None = None, vocabulary: str = V
     return slots.drop("__written")
 
 
-def read_sequences(folder: str, slot: int = 0) -> Iterator[np.ndarray]:
-    """The sequences from a slot on, in order: what a training run that stopped before that slot reads next."""
+def read_sequences(folder: str, slot: int = 0, digest: str | None = None) -> Iterator[np.ndarray]:
+    """The sequences from a slot on, in order: what a training run that stopped before that slot reads next.
+
+    digest: that of the manifest with which the run began; an order that is not the same is refused.
+    """
     system, root = _filesystem(folder)
     with system.open_input_stream(f"{root}/manifest.json") as f:
         manifest = json.loads(f.read())
+    if digest not in (None, manifest["digest"]):
+        raise ValueError(f"{folder} holds another order: its digest is {manifest['digest']}, not {digest}")
     stride = 2 * manifest["length"]
     while slot < manifest["sequences"]:
         shard, first = divmod(slot, manifest["per_shard"])

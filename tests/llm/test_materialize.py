@@ -84,3 +84,60 @@ def test_shards_of_another_key_are_replaced(spark, sf_dir, tmp_path):
         assert M.write_shards(ordered, folder, 64, 500)["written"] == ordered.count()
         assert [s.tobytes() for s in M.read_sequences(folder)] == [bytes(r["record"]) for r in ordered.orderBy("slot").collect()]
         ordered.unpersist()
+
+
+def test_resuming_with_another_key_and_other_partitions(spark, sf_dir, tmp_path):
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), str(tmp_path / "out")
+    first = M.training_order(docs.coalesce(1), length=64, per_shard=500, key=1).cache()
+    begun = M.write_shards(first, folder, 64, 500)
+    read = [s.tobytes() for s in M.read_sequences(folder, digest=begun["digest"])]
+    os.remove(f"{folder}/shard-000002.bin")
+    second = M.training_order(docs.repartition(5, "doc_id"), length=64, per_shard=500, key=2).cache()
+    other = M.write_shards(second, folder, 64, 500)
+    again = [s.tobytes() for s in M.read_sequences(folder)]
+    assert again == [bytes(r["record"]) for r in second.orderBy("slot").collect()] and sorted(again) == sorted(read)
+    assert other["digest"] != begun["digest"]
+    with pytest.raises(ValueError, match="another order"):
+        next(M.read_sequences(folder, 700, begun["digest"]))
+    assert M.write_shards(first, folder, 64, 500)["digest"] == begun["digest"]
+    for x in (first, second):
+        x.unpersist()
+
+
+def by_hand(index: int, n: int, key: int) -> int:
+    """The Feistel network in plain numbers, walking the cycle until it falls below n."""
+    word = (1 << 64) - 1
+
+    def mixed(x: int) -> int:
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & word
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & word
+        return x ^ x >> 31
+
+    half = 1
+    while 1 << 2 * half < n:
+        half += 1
+    while True:
+        left, right = index >> half, index & (1 << half) - 1
+        for k in range(M.ROUNDS):
+            left, right = right, left ^ mixed(right ^ mixed(k + key * 0x9E3779B97F4A7C15 & word)) & (1 << half) - 1
+        index = left << half | right
+        if index < n:
+            return index
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    """Slot, shard, offset and record of every sequence, from the texts in the order of the file."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").coalesce(1)
+    with open(M.VOCABULARY, "rb") as f:
+        encode = M.encoder(f.read()).encode_ordinary
+    sequences = []
+    for doc_id, text in docs.select("doc_id", "text").collect():
+        ids = [*encode(text or ""), M.END]
+        sequences += [(doc_id, k // M.LENGTH, ids[k : k + M.LENGTH]) for k in range(0, len(ids), M.LENGTH)]
+    wanted = {}
+    for number, (doc_id, seq, ids) in enumerate(sequences):
+        slot = by_hand(number, len(sequences), M.KEY)
+        record = np.array(ids + [M.END] * (M.LENGTH - len(ids)), "<u2").tobytes()
+        wanted[slot] = (slot // M.PER_SHARD, slot % M.PER_SHARD * 2 * M.LENGTH, doc_id, seq, len(ids), record)
+    found = {r["slot"]: (*tuple(r)[1:6], bytes(r["record"])) for r in M.training_order(docs).collect()}
+    assert found == wanted
