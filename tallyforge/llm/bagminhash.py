@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -172,8 +172,8 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = cut(texts.mapInArrow(_keyed, "doc_id long, one long, two long, signature binary"))
-    same = Window.partitionBy("one", "two")
-    classes = cut(keyed.groupBy("doc_id").agg(F.min(F.struct("one", "two")).alias("bag")).select("doc_id", "bag.*").withColumn("__rep", F.min("doc_id").over(same)))
+    named = keyed.groupBy("doc_id").agg(F.min(F.struct("one", "two")).alias("bag")).select("doc_id", "bag.*")
+    classes = cut(named.join(named.groupBy("one", "two").agg(F.min("doc_id").alias("__rep")), ["one", "two"]).select("doc_id", "one", "two", "__rep"))
     reps = classes.where("doc_id = __rep").select(F.col("doc_id").alias("__rep"), "one", "two")
     alike = keyed.where("signature is not null").join(reps, (F.col("doc_id") == F.col("__rep")) & (keyed["one"] == reps["one"]) & (keyed["two"] == reps["two"]), "left_semi")
     alike = alike.select("doc_id", "one", "two", "signature").distinct().select("doc_id", "signature")
@@ -194,8 +194,14 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """docs without the documents that go, with all columns; of rows of equal doc_id one stays, null ones all."""
-    gone = near_duplicates(docs, least).where(~F.col("keep")).select(F.col("doc_id").alias("__gone"))
-    left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    row = "__row" + "_" * max(map(len, docs.columns))  # longer than any column's name
-    return left.withColumn(row, F.row_number().over(one)).where((F.col(row) == 1) | F.col("doc_id").isNull()).drop(row)
+    columns = docs.columns
+    packed = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__text"), F.struct(*(docs[c] for c in columns)).alias("__all"))
+    named = packed.where("__id is not null")
+    times = named.groupBy("__id").agg(F.count(F.lit(1)).alias("__times")).withColumnRenamed("__id", "__seen")
+    stays = near_duplicates(docs, least).where("keep").select(F.col("doc_id").alias("__stays"))
+    stays = stays.join(times, F.col("__stays") == F.col("__seen"))
+    left = named.join(stays, F.col("__id") == F.col("__stays"))
+    # a doc_id of many rows is brought to one by partial minima, not by a window
+    one = left.where("__times > 1").groupBy("__id").agg(F.min_by("__all", F.struct("__text", F.xxhash64("__all"))).alias("__all"))
+    kept = left.where("__times = 1").select("__all").union(one.select("__all")).union(packed.where("__id is null").select("__all"))
+    return kept.select(*(F.col("__all")[c].alias(c) for c in columns))

@@ -1,6 +1,6 @@
 """Rows that share a band of their signatures, compared pair by pair in tiles that fit a task.
 
-All rows with one band key form a bucket. A bucket of more than BLOCK rows is cut into blocks, and each pair of
+All rows with one band key form a bucket. A bucket of more than BLOCK rows is cut into blocks of about BLOCK, and each pair of
 blocks is a tile of its own, so no bucket, however large, is bound to one task, and no pair is left out.
 """
 
@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a bucket in a block.
@@ -24,15 +24,16 @@ Tile = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # ids,
 def tiled(sides: DataFrame, bands: int, width: int) -> DataFrame:
     """(tile, block, band, doc_id, signature), by tile: sides has doc_id and signature, of bands times width bytes.
 
-    Rows that share no band with another row are not there. sides is read twice.
+    Rows that share no band with another row are not there. sides is read three times.
     """
     low = (1 << (bands - 1).bit_length()) - 1  # a bucket's number ends in its band
     keys = F.array(*(F.xxhash64(F.substring("signature", 1 + k * width, width)).bitwiseAND(F.lit(~low)).bitwiseOR(F.lit(k)) for k in range(bands)))
-    bucket = Window.partitionBy("key")
-    shared = sides.select("doc_id", F.explode(keys).alias("key")).withColumn("size", F.count(F.lit(1)).over(bucket)).where("size > 1")
-    placed = shared.withColumn("block", F.floor((F.row_number().over(bucket.orderBy("doc_id")) - 1) / BLOCK).cast("int"))
-    others = F.sequence(F.lit(0), F.floor((F.col("size") - 1) / BLOCK).cast("int"))
-    spread = placed.withColumn("other", F.explode(F.when(F.col("size") > BLOCK, others).otherwise(F.array(F.lit(0)))))
+    rows = sides.select("doc_id", F.explode(keys).alias("key"))
+    # counted with partial sums and joined back, so that a large bucket is no task's window; its blocks are hashed
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    placed = rows.join(sizes, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tile = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
     narrow = spread.select(F.col("doc_id").alias("__doc"), "block", F.col("key").bitwiseAND(F.lit(low)).cast("int").alias("band"), tile.alias("tile"))
     joined = narrow.join(sides, F.col("__doc") == F.col("doc_id")).select("tile", "block", "band", "doc_id", "signature")

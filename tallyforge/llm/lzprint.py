@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import cut, written
@@ -99,7 +99,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     path = written(texts.mapInArrow(_printed, "doc_id long, n_phrases int, print_a long, print_b long, signature binary"), "lzprint")
     prints = spark.read.parquet(path)
     narrow = prints.select("doc_id", "n_phrases", "print_a", "print_b")
-    classes = cut(narrow.withColumn("rep_id", F.min("doc_id").over(Window.partitionBy("print_a", "print_b"))))
+    lowest = narrow.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("rep_id"))
+    classes = cut(narrow.join(lowest, ["print_a", "print_b"]))
     reps = classes.where("doc_id = rep_id and n_phrases > 0").select(F.col("rep_id").alias("__rep"), F.col("print_a").alias("__a"), F.col("print_b").alias("__b")).distinct()
     sides = prints.join(reps, (prints["doc_id"] == F.col("__rep")) & (prints["print_a"] == F.col("__a")) & (prints["print_b"] == F.col("__b")), "left_semi")
     sides = sides.select("doc_id", "print_a", "print_b", "signature").distinct().select("doc_id", "signature")  # by the join's keys, without a shuffle of its own
