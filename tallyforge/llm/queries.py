@@ -13,6 +13,13 @@ def _on_documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[Spark
     return lambda spark, sf_dir: operator(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    """The labels of the documents, if there is such a table."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/labels.parquet")
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.parquet(f"{sf_dir}/labels.parquet") if there else None
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixture": _on_documents(mixing.mix),
     "op2_lz_fingerprints": _on_documents(lzprint.fingerprints),
@@ -21,7 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_two_fit": _on_documents(packing.pack),
     "op6_language": _on_documents(langid.identify),
     "op7_interleaving": _on_documents(interleave.interleave),
-    "op8_toxicity": _on_documents(toxicity.toxicity),
+    "op8_toxicity": lambda spark, sf_dir: toxicity.toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels(spark, sf_dir)),
     "op9_near_duplicates": _on_documents(bagminhash.near_duplicates),
     "op10_training_order": _on_documents(materialize.materialised),
 }

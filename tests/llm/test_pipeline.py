@@ -19,16 +19,19 @@ def test_pipeline_against_brute_force(spark, sf_dir, tables):
     sf_dir = f"{sf_dir}/../sf0.01"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = sorted(tuple(r) for r in docs.select("doc_id", "text", "lang", "source").collect())
-    machine = T.grammar()
-    rows = [r for r in rows if sum(T.clause_scores(r[1], machine)) < T.LEAST]
+    machine, learnt = T.grammar(), T.learnt(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    everything = {w: c for words in learnt.values() for w, c in words.items()}
+    rows = [r for r in rows if sum(T.clause_scores(r[1], machine, r[2], learnt.get(r[2]) or everything)) < T.LEAST]
     left = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    reference = L.references(L.labelled_sample(left))
-    starts = {n: L.automaton(t) for n, t in reference.items()}
+    reference, limits = L.learnt(L.labelled_sample(left))
+    starts = {n: L.automaton(t) for n, t in sorted(reference.items())}
 
     def known(text):
         letters = L.letters(text)
-        bits = min(L.phrase_count(letters, s) * L.math.log2(len(reference[n])) for n, s in starts.items()) / max(1, len(letters))
-        return bool(letters) and (len(letters) < L.SURE_LETTERS or bits <= L.MOST_BITS)
+        size = max(1, len(letters))
+        bits = {n: L.phrase_count(letters, s) * L.math.log2(len(reference[n])) / size for n, s in starts.items()}
+        best = min(bits, key=bits.get)
+        return bool(letters) and bits[best] <= limits[best] + L.PHRASES * L.math.log2(len(reference[best])) / size
 
     rows = [r for r in rows if known(r[1])]
     bags = []
