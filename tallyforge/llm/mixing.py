@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import heapq
+import math
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +14,9 @@ from ..functions.tokens import word_count
 from ..plans.ranking import ranked, running_sum, seeded_key
 from ..plans.scratch import cut
 
-BLOCK_TOKENS, SHARDS, KEEP, SEED = 1024, 8, 0.8, 17
+#: Tokens of a block; shards; blocks of the mixture, as a share of the blocks that all sources hold; how often a source may be
+#: gone through, as a short one is to reach its target weight.
+BLOCK_TOKENS, SHARDS, KEEP, EPOCHS, SEED = 1024, 8, 0.8, 4, 17
 
 
 def apportion(weights: list[int], caps: list[int], house: int) -> list[int]:
@@ -56,8 +60,10 @@ def placed(docs: DataFrame, tokens: Column | None = None, block_tokens: int = BL
     return running_sum(rows, ["__source"], F.substring("__key", 1, 3), [F.col("__key"), F.col("doc_id"), F.col("tokens")], F.col("tokens"), "start").drop("__key")
 
 
-def mixed_blocks(streams: DataFrame, weights: DataFrame | None = None, block_tokens: int = BLOCK_TOKENS, shards: int = SHARDS, keep: float = KEEP, seed: int = SEED) -> DataFrame:
-    """(__source, block, shard, slot): the blocks that the apportionment and the seeded selection take.
+def mixed_blocks(
+    streams: DataFrame, weights: DataFrame | None = None, block_tokens: int = BLOCK_TOKENS, shards: int = SHARDS, keep: float = KEEP, epochs: int = EPOCHS, seed: int = SEED
+) -> DataFrame:
+    """(__source, __tokens, block, shard, slot): the blocks that the apportionment and the seeded selection take.
 
     streams: what placed() gives. weights: (source, weight) with integer weights, a source that is not
     listed has none; by default the square root of the source's tokens, in thousandths.
@@ -71,40 +77,57 @@ def mixed_blocks(streams: DataFrame, weights: DataFrame | None = None, block_tok
 
     def seats(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("__source")
-        supply = (rows["__tokens"] // block_tokens).astype(int)
-        caps = [int(s) // shards for s in supply]
-        return pd.DataFrame({"__source": rows["__source"], "__supply": supply, "__quota": apportion([int(w) for w in rows["__w"]], caps, int(keep * sum(caps)))})
+        tokens = [int(t) for t in rows["__tokens"]]
+        supply = [-(-t // block_tokens) for t in tokens]
+        quotas = apportion([int(w) for w in rows["__w"]], [-(-epochs * t // block_tokens) for t in tokens], math.ceil(keep * sum(supply)))
+        before = [0, *accumulate(quotas)][:-1]
+        return pd.DataFrame({"__source": rows["__source"], "__tokens": tokens, "__supply": supply, "__quota": quotas, "__first": [n % shards for n in before]})
 
     # one row a source: the only step that sees all of them at once
-    quotas = sizes.groupBy(F.lit(1).alias("__all")).applyInPandas(seats, "__source string, __supply long, __quota long").where("__quota > 0")
-    blocks = quotas.select("__source", "__quota", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__supply") - 1)).alias("block"))
-    blocks = cut(blocks.withColumn("__key", seeded_key(seed, F.substring("__source", 2, 1 << 20), F.col("block"))))
-    drawn = ranked(blocks, ["__source"], "__key", ["block"], "__rank").where(F.col("__rank") < F.col("__quota") * shards)
-    return drawn.select("__source", "block", (F.col("__rank") % shards).cast("int").alias("shard"), F.floor(F.col("__rank") / shards).cast("long").alias("slot"))
-
-
-def mix(docs: DataFrame, weights: DataFrame | None = None, tokens: Column | None = None, block_tokens: int = BLOCK_TOKENS, shards: int = SHARDS, keep: float = KEEP, seed: int = SEED) -> DataFrame:
+    quotas = sizes.groupBy(F.lit(1).alias("__all")).applyInPandas(seats, "__source string, __tokens long, __supply long, __quota long, __first long").where("__quota > 0")
+    rounds = F.ceil(F.col("__quota") / F.col("__supply")) * F.col("__supply")
+    blocks = quotas.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), rounds - 1)))
+    blocks = blocks.withColumn("__lap", F.floor(F.col("block") / F.col("__supply"))).withColumn("__key", seeded_key(seed, F.substring("__source", 2, 1 << 20), F.col("block")))
+    drawn = ranked(cut(blocks), ["__source", "__lap"], "__key", ["block"], "__within").withColumn("__rank", F.col("__lap") * F.col("__supply") + F.col("__within"))
+    dealt = F.col("__first") + F.col("__rank")
+    return drawn.where(F.col("__rank") < F.col("__quota")).select("__source", "__tokens", "block", (dealt % shards).cast("int").alias("shard"), F.floor(F.col("__rank") / shards).cast("long").alias("slot"))
+
+
+def mix(
+    docs: DataFrame, weights: DataFrame | None = None, tokens: Column | None = None, block_tokens: int = BLOCK_TOKENS, shards: int = SHARDS, keep: float = KEEP, epochs: int = EPOCHS, seed: int = SEED
+) -> DataFrame:
     """(source, block, shard, slot, doc_id, token_from, token_to): the mixture, as slices of documents.
 
-    A source's documents, in seeded order, are one stream of tokens that is cut every block_tokens, so all
-    blocks hold equally many; a document may lie in several, and the last, partial block is not used. Of
-    the blocks that the sources could give each shard, the share keep is apportioned: quota k of a source
-    goes to the highest quotients weight / (2 k - 1). Each shard gets that quota of each source; which
-    blocks those are, a seeded order of the source's blocks decides. slot counts a source's blocks in a shard.
+    A source's documents, in seeded order, are one stream of tokens that begins again when it ends and is cut every block_tokens,
+    so all blocks hold equally many; a document may lie in several. The mixture has keep as many blocks as all sources hold
+    (partial ones included), apportioned to the sources: block k of a source goes to the highest quotients weight / (2 k - 1). A source can give
+    epochs times its tokens, so that a short one still reaches its share; no source with tokens is too small. Which blocks of a source those are,
+    a seeded order decides, within each round through the stream. They are dealt to the shards in turn, one source after the
+    other: a shard's quota of a source is the number of its blocks divided by shards, rounded up or down, and shards have equally many blocks, but for one.
+    slot counts a source's blocks in a shard.
 
     Null and empty texts have no tokens and are in no block. A null source is a source of its own. Equal
-    doc_ids follow each other in the stream. A source that has fewer than shards blocks gives none. No
-    documents: no rows. Other columns are not looked at.
+    doc_ids follow each other in the stream. No documents: no rows. Other columns are not looked at.
     """
     streams = cut(placed(docs, tokens, block_tokens, seed))
-    blocks = mixed_blocks(streams, weights, block_tokens, shards, keep, seed)
+    blocks = mixed_blocks(streams, weights, block_tokens, shards, keep, epochs, seed)
+    # the stretches of the stream that a block covers, one for each round, and the cells of block_tokens that they touch
+    begin = F.col("block") * block_tokens
+    laps = F.sequence(F.floor(begin / F.col("__tokens")), F.floor((begin + block_tokens - 1) / F.col("__tokens")))
+    pieces = blocks.withColumn("__lap", F.explode(laps)).withColumn("__from", F.greatest(begin - F.col("__lap") * F.col("__tokens"), F.lit(0)))
+    pieces = pieces.withColumn("__to", F.least(begin + block_tokens - F.col("__lap") * F.col("__tokens"), F.col("__tokens")))
+
+    def cells(first: str, end: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(first) / block_tokens), F.floor((F.col(end) - 1) / block_tokens)))
+
+    pieces = pieces.select("__source", "block", "shard", "slot", "__from", "__to", cells("__from", "__to").alias("__cell"))
     ends = streams.where("tokens > 0").withColumn("__end", F.col("start") + F.col("tokens"))
-    block = F.col("block")
-    slices = ends.select("__source", "doc_id", "start", "__end", F.explode(F.sequence(F.floor(F.col("start") / block_tokens), F.floor((F.col("__end") - 1) / block_tokens))).alias("block"))
-    return slices.join(blocks, ["__source", "block"]).select(
+    slices = ends.select("__source", "doc_id", "start", "__end", cells("start", "__end").alias("__cell")).join(pieces, ["__source", "__cell"])
+    first, last = F.greatest("start", "__from"), F.least("__end", "__to")
+    # a document and a stretch meet in several cells: the first counts
+    return slices.where((first < last) & (F.col("__cell") == F.floor(first / block_tokens))).select(
         F.when(F.col("__source") != "", F.substring("__source", 2, 1 << 20)).alias("source"), "block", "shard", "slot", "doc_id",
-        (F.greatest(F.col("start"), block * block_tokens) - F.col("start")).alias("token_from"),
-        (F.least(F.col("__end"), (block + 1) * block_tokens) - F.col("start")).alias("token_to"),
+        (first - F.col("start")).alias("token_from"), (last - F.col("start")).alias("token_to"),
     )
 
 

@@ -42,23 +42,27 @@ WITH rows AS (
 streams AS (
   SELECT doc_id, source, tokens, sum(tokens) OVER (PARTITION BY source ORDER BY k, doc_id) - tokens AS start FROM rows),
 sizes AS (
-  SELECT source, CAST(floor(sqrt(CAST(sum(tokens) AS DOUBLE)) * 1000) AS BIGINT) AS w,
-         CAST(sum(tokens) AS BIGINT) // {mixing.BLOCK_TOKENS} AS supply FROM rows GROUP BY source),
+  SELECT source, CAST(floor(sqrt(CAST(sum(tokens) AS DOUBLE)) * 1000) AS BIGINT) AS w, CAST(sum(tokens) AS BIGINT) AS total,
+         CAST(sum(tokens) + {mixing.BLOCK_TOKENS} - 1 AS BIGINT) // {mixing.BLOCK_TOKENS} AS supply FROM rows GROUP BY source),
 seats AS (
   SELECT source, row_number() OVER (ORDER BY w / (2.0::DOUBLE * n - 1) DESC, source) AS place
-  FROM sizes, range(1, supply // {mixing.SHARDS} + 1) AS t(n)),
-quotas AS (
+  FROM sizes, range(1, ({mixing.EPOCHS} * total + {mixing.BLOCK_TOKENS} - 1) // {mixing.BLOCK_TOKENS} + 1) AS t(n)),
+counts AS (
   SELECT source, count(*) AS quota FROM seats
-  WHERE place <= (SELECT floor({mixing.KEEP}::DOUBLE * count(*)) FROM seats) GROUP BY source),
+  WHERE place <= (SELECT ceil({mixing.KEEP}::DOUBLE * sum(supply)) FROM sizes) GROUP BY source),
+quotas AS (SELECT source, quota, sum(quota) OVER (ORDER BY source) - quota AS before FROM counts),
 blocks AS (
-  SELECT source, quota, n AS block,
-         row_number() OVER (PARTITION BY source ORDER BY md5('{mixing.SEED}|' || source || '|' || n), n) - 1 AS r
-  FROM quotas JOIN sizes USING (source), range(0, supply) AS t(n))
-SELECT source, CAST(block AS BIGINT) AS block, CAST(r % {mixing.SHARDS} AS INTEGER) AS shard, CAST(r // {mixing.SHARDS} AS BIGINT) AS slot, doc_id,
-       CAST(greatest(start, block * {mixing.BLOCK_TOKENS}) - start AS BIGINT) AS token_from,
-       CAST(least(start + tokens, (block + 1) * {mixing.BLOCK_TOKENS}) - start AS BIGINT) AS token_to
-FROM blocks JOIN streams USING (source)
-WHERE r < quota * {mixing.SHARDS} AND tokens > 0 AND start < (block + 1) * {mixing.BLOCK_TOKENS} AND start + tokens > block * {mixing.BLOCK_TOKENS}""",
+  SELECT source, total, quota, before, n AS block, n // supply * supply +
+         row_number() OVER (PARTITION BY source, n // supply ORDER BY md5('{mixing.SEED}|' || source || '|' || n), n) - 1 AS r
+  FROM quotas JOIN sizes USING (source), range(0, (quota + supply - 1) // supply * supply) AS t(n)),
+pieces AS (
+  SELECT *, greatest(block * {mixing.BLOCK_TOKENS} - lap * total, 0) AS a, least((block + 1) * {mixing.BLOCK_TOKENS} - lap * total, total) AS z
+  FROM (SELECT * FROM blocks WHERE r < quota) AS taken,
+       range(block * {mixing.BLOCK_TOKENS} // total, ((block + 1) * {mixing.BLOCK_TOKENS} - 1) // total + 1) AS t(lap))
+SELECT source, CAST(block AS BIGINT) AS block, CAST((before + r) % {mixing.SHARDS} AS INTEGER) AS shard, CAST(r // {mixing.SHARDS} AS BIGINT) AS slot, doc_id,
+       CAST(greatest(start, a) - start AS BIGINT) AS token_from, CAST(least(start + tokens, z) - start AS BIGINT) AS token_to
+FROM pieces JOIN streams USING (source)
+WHERE tokens > 0 AND start < z AND start + tokens > a""",
     "op7_interleaving": f"""
 WITH ranks AS (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('{interleave.SEED}|' || doc_id), doc_id) - 1 AS r,

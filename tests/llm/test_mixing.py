@@ -34,7 +34,28 @@ def test_blocks_are_whole_and_shards_alike(spark, sf_dir):
         shards[r["shard"]].add((r["source"], r["block"]))
     assert size and set(size.values()) == {64}
     counts = [Counter(s for s, _ in shards[k]) for k in range(4)]
-    assert all(c == counts[0] for c in counts)
+    assert all(abs(c[s] - d[s]) <= 1 for c in counts for d in counts for s in counts[0] | d)
+    assert max(c.total() for c in counts) - min(c.total() for c in counts) <= 1
+
+
+def test_no_source_is_too_small(spark):
+    rows = [(k, "w " * 900, "nine") for k in range(9)] + [(100, "one two three", "tiny"), (101, None, "empty")] + [(k, "w " * 900, "hot") for k in range(200, 500)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    found = mixing.mix(docs).collect()
+    size: Counter = Counter()
+    for r in found:
+        size[r["source"], r["block"]] += r["token_to"] - r["token_from"]
+    assert set(size.values()) == {mixing.BLOCK_TOKENS}
+    blocks = Counter(s for s, _ in size)
+    supply = {"nine": 8, "tiny": 1, "hot": 264}
+    assert blocks.total() == -(-8 * sum(supply.values()) // 10)
+    weights = {"hot": (300 * 900) ** 0.5, "nine": 8100**0.5, "tiny": 3**0.5}
+    assert all(abs(blocks[s] - w / sum(weights.values()) * blocks.total()) <= 1 for s, w in weights.items() if s != "nine")
+    assert blocks["nine"] == -(-mixing.EPOCHS * 8100 // 1024) and blocks["tiny"] == 1
+    assert {r["doc_id"] for r in found if r["source"] != "hot"} == {*range(9), 100}
+    kept = mixing.in_mixture(docs).collect()
+    assert {r["doc_id"] for r in kept if r["source"] != "hot"} == {*range(9), 100}
+    assert len(kept) > 0.7 * 310
 
 
 def test_given_weights(spark):
