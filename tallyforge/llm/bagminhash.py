@@ -195,13 +195,9 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
 def without_near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """docs without the documents that go, with all columns; of rows of equal doc_id one stays, null ones all."""
     columns = docs.columns
-    packed = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__text"), F.struct(*(docs[c] for c in columns)).alias("__all"))
-    named = packed.where("__id is not null")
-    times = named.groupBy("__id").agg(F.count(F.lit(1)).alias("__times")).withColumnRenamed("__id", "__seen")
+    packed = docs.select(F.col("doc_id").cast("long").alias("__id"), F.struct(*(docs[c] for c in columns)).alias("__all"))
+    # rows of one doc_id are brought to one by partial minima, with the shuffle that the join needs anyway
+    one = packed.where("__id is not null").groupBy("__id").agg(F.min_by("__all", F.struct(F.xxhash64(F.col("__all")["text"]), F.xxhash64("__all"))).alias("__all"))
     stays = near_duplicates(docs, least).where("keep").select(F.col("doc_id").alias("__stays"))
-    stays = stays.join(times, F.col("__stays") == F.col("__seen"))
-    left = named.join(stays, F.col("__id") == F.col("__stays"))
-    # a doc_id of many rows is brought to one by partial minima, not by a window
-    one = left.where("__times > 1").groupBy("__id").agg(F.min_by("__all", F.struct("__text", F.xxhash64("__all"))).alias("__all"))
-    kept = left.where("__times = 1").select("__all").union(one.select("__all")).union(packed.where("__id is null").select("__all"))
+    kept = one.join(stays, F.col("__id") == F.col("__stays"), "left_semi").select("__all").union(packed.where("__id is null").select("__all"))
     return kept.select(*(F.col("__all")[c].alias(c) for c in columns))
