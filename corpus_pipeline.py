@@ -14,13 +14,14 @@ from tallyforge.llm.bagminhash import without_near_duplicates
 from tallyforge.llm.langid import of_known_language
 from tallyforge.llm.mixing import in_mixture
 from tallyforge.llm.packing import pack
+from tallyforge.llm.queries import labels
 from tallyforge.llm.toxicity import without_toxic
 from tallyforge.plans.scratch import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", lambda spark, docs, sf_dir: without_toxic(docs)),
+    ("toxicity", lambda spark, docs, sf_dir: without_toxic(docs, labels(spark, sf_dir))),
     ("language", lambda spark, docs, sf_dir: of_known_language(docs)),
     ("near duplicates", lambda spark, docs, sf_dir: without_near_duplicates(docs)),
     ("mixture", lambda spark, docs, sf_dir: in_mixture(docs)),
