@@ -97,7 +97,11 @@ def normalised(call: str) -> tuple[str, dict[str, str]]:
 
 def canonical(call: str) -> str:
     """A call as a string that doesn't depend on the order of parameters, on white space or on case."""
-    name, parameters = normalised(call)
+    return canonical_of(*normalised(call))
+
+
+def canonical_of(name: str, parameters: dict[str, str]) -> str:
+    """canonical() of a call that is normalised already."""
     text = json.dumps({"tool_name": name, "parameters": parameters}, sort_keys=True, separators=(",", ":"))
     return "".join(text.split()).lower()
 

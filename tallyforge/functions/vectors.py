@@ -18,7 +18,8 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """v divided by its length, in doubles; a zero vector stays as it is."""
-    return F.transform(v, lambda x: x.cast("double") / norm(v))
+    # the length is bound once: inside the function of the elements it would be taken for each of them
+    return F.transform(F.array(norm(v)), lambda size: F.transform(v, lambda x: x.cast("double") / size))[0]
 
 
 def cosine(a: Column, b: Column) -> Column:

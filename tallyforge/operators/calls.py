@@ -16,7 +16,15 @@ CALL = Y.ArrayType(Y.StructType([Y.StructField("name", Y.StringType()), Y.Struct
 @F.pandas_udf(CALL)
 def calls(texts: pd.Series) -> pd.Series:
     """All calls of each text: name, parameters as text, canonical form."""
-    return pd.Series([[{"name": C.normalised(c)[0], "parameters": C.normalised(c)[1], "canonical": C.canonical(c)} for c in C.all_calls(t)] for t in texts])
+    return pd.Series([[{"name": n, "parameters": p, "canonical": C.canonical_of(n, p)} for n, p in map(C.normalised, C.all_calls(t))] for t in texts])
+
+
+@F.pandas_udf(Y.StructType([Y.StructField("canonical", Y.ArrayType(Y.StringType())), Y.StructField("extraneous", Y.BooleanType())]))
+def scanned(texts: pd.Series) -> pd.DataFrame:
+    """The canonical calls of each text, and whether there is more than calls and white space, from one scan."""
+    found = [C.all_calls(t) for t in texts]
+    rest = ["".join((t or "").split()) != "".join("".join(c.split()) for c in some) for t, some in zip(texts, found)]
+    return pd.DataFrame({"canonical": [[C.canonical(c) for c in some] for some in found], "extraneous": rest})
 
 
 @F.pandas_udf(Y.ArrayType(Y.StringType()))
@@ -70,10 +78,10 @@ def verify(logs: DataFrame, solutions: DataFrame, in_order: bool = False) -> Dat
     logs has task, n and agent_text, solutions task and solution (array of calls as text).
     """
     tried = logs.select("task", "n", F.posexplode(attempts(F.col("agent_text"))).alias("attempt", "body"))
-    wanted = solutions.select("task", F.transform(calls(F.array_join("solution", "\n")), lambda c: c["canonical"]).alias("__wanted"))
-    judged = tried.join(wanted, "task").withColumn("__got", F.transform(calls(F.col("body")), lambda c: c["canonical"]))
-    right = same_calls(F.col("__got"), F.col("__wanted"), in_order)
-    return judged.select("task", "n", F.col("attempt") + 1, F.when(extraneous(F.col("body")), "extraneous").when(right, "correct").otherwise("wrong").alias("verdict")).toDF("task", "n", "attempt", "verdict")
+    wanted = solutions.select("task", scanned(F.array_join("solution", "\n"))["canonical"].alias("__wanted"))
+    judged = tried.join(wanted, "task").withColumn("__got", scanned(F.col("body")))
+    right = same_calls(F.col("__got.canonical"), F.col("__wanted"), in_order)
+    return judged.select("task", "n", F.col("attempt") + 1, F.when(F.col("__got.extraneous"), "extraneous").when(right, "correct").otherwise("wrong").alias("verdict")).toDF("task", "n", "attempt", "verdict")
 
 
 def resolve(turns: DataFrame, tools: DataFrame, text: str = "agent_text") -> DataFrame:

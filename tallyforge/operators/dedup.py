@@ -45,7 +45,7 @@ def similar_pairs(vectors: DataFrame, least: float, key: str = "id", group: str
     Groups are cut into hashed blocks of about block rows, and each pair of blocks is one matrix product,
     so neither a large group nor its n x n matrix lies in one task. Rows without a vector have no pairs.
     """
-    rows = vectors.where(F.col(vector).isNotNull()).select((F.col(group) if group else F.lit(0)).alias("g"), F.col(key).alias("id"), F.transform(unit(F.col(vector)), lambda x: x).alias("v"))
+    rows = vectors.where(F.col(vector).isNotNull()).select((F.col(group) if group else F.lit(0)).alias("g"), F.col(key).alias("id"), unit(F.col(vector)).alias("v"))
     sizes = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).alias("n"))
     # a group of n blocks: block i goes to the pairs (i, j) for all j, smaller first
     placed = rows.join(sizes, "g").withColumn("i", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))

@@ -103,3 +103,9 @@ def first_distinct(df: DataFrame, parent: str, value: str, order: str, most: int
 def next_spec(ids: DataFrame, key: str = "id") -> DataFrame:
     """(next_spec): one more than the largest spec number of all ids, 1 if there is none."""
     return ids.agg((F.coalesce(F.max(F.regexp_extract(key, r"_tool_spec_(\d+)", 1).try_cast("long")), F.lit(0)) + 1).alias("next_spec"))
+
+
+def available(uses: DataFrame, group: str, tool: str = "tool_name") -> DataFrame:
+    """(group, n, tools): how many different tools each group has, and their names in order, with commas."""
+    names = F.array_sort(F.collect_set(F.col(tool).cast("string")))
+    return uses.groupBy(group).agg(F.countDistinct(tool).alias("n"), F.array_join(names, ", ").alias("tools"))

@@ -16,6 +16,8 @@ from ..operators import calls as calls_
 from ..operators import dedup, environments, parameter_check, parsing, reliability, similarity
 from ..operators.components import connected_components
 from ..sources.sinks import category
+from .ranking import running_sum
+from .scratch import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -136,9 +138,15 @@ def _(t):
     return dedup.drop_flags(tools, _vectors(t), TAUS)
 
 
-@query("degree_drop_invariant", "SELECT * FROM (VALUES ('drop below threshold', CAST(0 AS BIGINT)), ('similar survivors', CAST(0 AS BIGINT))) AS v(rule, violations)")
+@query("degree_drop_invariant", f"""{_REACH} SELECT 'drop below threshold' AS rule, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'similar survivors', 0 UNION ALL SELECT 'drop of a node without an edge', 0
+UNION ALL SELECT 'components with a survivor', count(DISTINCT component) FROM comp WHERE node IN (SELECT a FROM e)""")
 def _(t):
-    return dedup.violations(dedup.similar_pairs(_vectors(t), TAU), dedup.near_duplicates_at(_vectors(t), TAU), TAU)
+    pairs, gone = cut(dedup.similar_pairs(_vectors(t), TAU)), cut(dedup.near_duplicates_at(_vectors(t), TAU))
+    parts = cut(connected_components(pairs)).withColumn("__node", F.col("node").cast("string"))
+    ids = gone.select(F.col("id").alias("__node"))
+    alone = ids.join(parts, "__node", "left_anti").agg(F.count(F.lit(1)).alias("violations")).select(F.lit("drop of a node without an edge").alias("rule"), "violations")
+    left = parts.join(ids, "__node", "left_anti").agg(F.countDistinct("component").alias("violations")).select(F.lit("components with a survivor").alias("rule"), "violations")
+    return dedup.violations(pairs, gone, TAU).union(alone).union(left)
 
 
 @query("threshold_pivot")
@@ -241,11 +249,11 @@ def _(t):
     return parsing.extract_tools(t("documents").select("doc_id", spec.alias("text"))).select("doc_id", "position", "tool_name")
 
 
-@query("json_coerce", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type = 'error' AS failed FROM events")
+@query("json_coerce", "SELECT event_id, CASE WHEN event_type <> 'error' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, event_type = 'error' AS failed FROM events")
 def _(t):
     answer = F.when(F.col("event_type") == "error", F.concat(F.lit("Sorry {no} "), "event_type")).when(F.col("event_type") == "click", F.concat(F.lit("Here:\n```json\n"), "props", F.lit("\n``` {x}"))).otherwise(F.concat(F.lit("So: "), "props", F.lit(" as asked")))
     found = parsing.coerced_json(answer)
-    return t("events").select("event_id", F.coalesce(F.get_json_object(found, "$.k"), F.when(found.isNull(), F.get_json_object("props", "$.k"))).cast("long").alias("k"), found.isNull().alias("failed"))
+    return t("events").select("event_id", F.get_json_object(found, "$.k").cast("long").alias("k"), found.isNull().alias("failed"))
 
 
 @query("judgment_parse", """SELECT doc_id, CASE WHEN toxic = 1 THEN 'unknown' WHEN quality = 1 THEN 'correct' ELSE 'inappropriate_response' END AS judgment, CASE WHEN toxic = 1 THEN 0.0::DOUBLE ELSE 0.75::DOUBLE END AS confidence FROM labels""")
@@ -311,11 +319,11 @@ def _(t):
     return calls_.resolve(turns, tools).select("event_id", "called", "tool_id", F.col("error").isNotNull().alias("missed"))
 
 
-@query("call_decode", """SELECT event_id, user_id AS a, CASE WHEN event_type = 'error' THEN NULL ELSE 2 END AS calls FROM events""")
+@query("call_decode", """SELECT event_id, CASE WHEN event_type <> 'error' THEN user_id END AS a, CASE WHEN event_type <> 'error' THEN 2 END AS calls FROM events""")
 def _(t):
     text = F.when(F.col("event_type") == "error", F.lit("[not a call")).otherwise(F.concat(F.lit("[get(a=-"), F.col("user_id"), F.lit(", b=[1, {'c': (2,)}]), put(x=1+1)]")))
     found = F.from_json(calls_.decoded_calls(text), "array<map<string,map<string,string>>>")
-    return t("events").select("event_id", F.coalesce(-F.try_element_at(found, F.lit(1))["get"]["a"].cast("long"), F.col("user_id")).alias("a"), F.when(found.isNotNull(), F.size(found)).alias("calls"))
+    return t("events").select("event_id", (-F.try_element_at(found, F.lit(1))["get"]["a"].cast("long")).alias("a"), F.when(found.isNotNull(), F.size(found)).alias("calls"))
 
 
 @query("ordered_vs_multiset_equal", """WITH c AS (SELECT conv_id, list(role ORDER BY turn) AS a, list(role ORDER BY turn DESC) AS b FROM conversations GROUP BY conv_id)
@@ -442,10 +450,12 @@ def _(t):
 
 @query("unknown_last", "SELECT doc_id, CAST(row_number() OVER (ORDER BY CASE WHEN lang <> 'en' THEN n_chars END NULLS LAST, doc_id) AS INTEGER) AS place FROM documents")
 def _(t):
-    from pyspark.sql import Window
-
     number = F.when(F.col("lang") != "en", F.col("n_chars").cast("string")).otherwise("unknown").try_cast("long")
-    return t("documents").select("doc_id", F.row_number().over(Window.orderBy(number.asc_nulls_last(), "doc_id")).alias("place"))
+    rows = cut(t("documents").select("doc_id", number.alias("number")))
+    # buckets in the order of the rows, so that no task has them all; the unknown ones come last, by doc_id
+    bucket = F.when(F.col("number").isNull(), F.lit(1 << 40) + F.floor(F.col("doc_id") / 1024)).otherwise(F.floor(F.col("number") / 64))
+    placed = running_sum(rows, [], bucket, [F.col("number").asc_nulls_last(), F.col("doc_id")], F.lit(1), "place")
+    return placed.select("doc_id", (F.col("place") + 1).cast("int").alias("place"))
 
 
 @query("hierarchy_counts", """SELECT r_name AS field, n_name AS subfield, c_mktsegment AS task, count(*) AS count FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""")
@@ -534,3 +544,6 @@ def _(t):
 
     asked = from_template(t("labels"), "judge {id}", id="doc_id")
     return completed(asked, Echo).where(F.col("answer") == F.col("prompt")).select("doc_id", "status", F.col("quality").alias("verdict"), "prompt")
+
+
+from . import catalog_files, catalog_functions  # noqa: E402, F401  (they register theirs)

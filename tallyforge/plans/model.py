@@ -93,7 +93,10 @@ def completed(df: DataFrame, model: Callable[[], TextModel], prompt: str = "prom
 
 
 def embedded(df: DataFrame, model: Callable[[], VectorModel], text: str = "text", batch: int = 64, first_delay: float = 1.5) -> DataFrame:
-    """df with embedding and text_length of the text with line ends as blanks; a batch that fails is tried row by row, and a row that fails has a null embedding."""
+    """df with embedding and text_length of the text with line ends as blanks; a batch that fails is tried row by row, and a row that fails has a null embedding.
+
+    A null text has no vector and no length.
+    """
     flat = df.withColumn("__text", F.replace(F.col(text), F.lit("\n"), F.lit(" ")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
@@ -101,9 +104,10 @@ def embedded(df: DataFrame, model: Callable[[], VectorModel], text: str = "text"
         client = model()
         for part in batches:
             out: list[list[float] | None] = []
-            given = part.pop("__text").tolist()
-            for k in range(0, len(given), batch):
-                some = given[k : k + batch]
+            given = [None if pd.isna(t) else t for t in part.pop("__text")]
+            there = [t for t in given if t is not None]
+            for k in range(0, len(there), batch):
+                some = there[k : k + batch]
                 try:
                     out += retried(lambda some=some: client.embed(some), 3, first_delay)
                 except RuntimeError:
@@ -112,7 +116,9 @@ def embedded(df: DataFrame, model: Callable[[], VectorModel], text: str = "text"
                             out += retried(lambda one=one: client.embed([one]), 3, first_delay)
                         except RuntimeError:
                             out.append(None)
-            yield part.assign(embedding=pd.Series(out, dtype=object, index=part.index), text_length=[len(t) for t in given])
+            found = iter(out)
+            out = [None if t is None else next(found) for t in given]
+            yield part.assign(embedding=pd.Series(out, dtype=object, index=part.index), text_length=pd.Series([None if t is None else len(t) for t in given], dtype="Int64", index=part.index))
 
     return flat.mapInPandas(run, f"{schema}, embedding array<float>, text_length long")
 
@@ -135,7 +141,7 @@ def judged(df: DataFrame, model: Callable[[], TextModel]) -> DataFrame:
 
 
 def simulated(calls: DataFrame, model: Callable[[], TextModel]) -> DataFrame:
-    """calls (checked: status, code, message, and prompt) with response: of a failed check its own message, else the model's answer."""
+    """calls (checked: status, code, message, and prompt) with response: of a failed check its own message, else the model's answer. A null status is no pass."""
     passed = completed(calls.where("status = 'PASS'").withColumnRenamed("status", "checked"), model).withColumn("response", F.concat(F.lit("Status Code: 200\nResponse: "), F.coalesce("answer", F.lit("")))).drop("answer", "status").withColumnRenamed("checked", "status")
-    failed = calls.where("status <> 'PASS'").withColumn("response", F.format_string('Status Code: %d\nResponse: {"error": "%s"}', "code", "message"))
+    failed = calls.where("status is null or status <> 'PASS'").withColumn("response", F.format_string('Status Code: %d\nResponse: {"error": "%s"}', F.coalesce("code", F.lit(400)), F.coalesce("message", F.lit("The call was not checked."))))
     return passed.unionByName(failed)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import re
+import warnings
 from pathlib import Path
 
 import numpy as np
@@ -39,9 +40,28 @@ def texts(spark: SparkSession, paths: list[str], pattern: str) -> DataFrame:
     return read.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).withColumn("stem", stem(F.col("path")))
 
 
+def usable(spark: SparkSession, paths: list[str], suffixes: tuple[str, ...]) -> list[str]:
+    """Of the paths the folders and the files with one of the suffixes, each once, in order; others are skipped with a warning."""
+    context = spark.sparkContext
+    out: dict[str, None] = {}
+    for path in paths:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        system = at.getFileSystem(context._jsc.hadoopConfiguration())
+        if not system.exists(at):
+            warnings.warn(f"{path} isn't there and is skipped", stacklevel=2)
+        elif not system.getFileStatus(at).isDirectory() and not path.lower().endswith(suffixes):
+            warnings.warn(f"{path} is neither a folder nor a file of {', '.join(suffixes)} and is skipped", stacklevel=2)
+        else:
+            out.setdefault(system.resolvePath(at).toString())
+    return list(out)
+
+
 def specs(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, stem, text): .yml and .yaml files."""
-    return texts(spark, paths, "*.{yml,yaml}")
+    """(path, stem, text): .yml and .yaml files, each once; paths that aren't there, or are other files, are skipped with a warning."""
+    found = usable(spark, paths, (".yml", ".yaml"))
+    if not found:
+        return spark.createDataFrame([], "path string, stem string, text string").select("path", "text", "stem")
+    return texts(spark, found, "*.{yml,yaml}").dropDuplicates(["path"])
 
 
 def tools(spark: SparkSession, paths: list[str]) -> DataFrame:
