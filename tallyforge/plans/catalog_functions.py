@@ -170,7 +170,7 @@ def _(t):
 # calls
 
 
-@query("first_calls", "SELECT event_id, 'new(a=' || user_id || ')|new (b=[1, 2])' AS renamed, CASE WHEN user_id % 2 = 0 THEN 'f(a=' || user_id || ')' ELSE 'f(a=' || user_id || ')|g (b=[1, 2])' END AS first FROM events")
+@query("first_calls", "SELECT event_id, 'new(a=' || user_id || ')|new(b=[1, 2])' AS renamed, CASE WHEN user_id % 2 = 0 THEN 'f(a=' || user_id || ')' ELSE 'f(a=' || user_id || ')|g (b=[1, 2])' END AS first FROM events")
 def _(t):
     text = F.concat(F.lit("so f(a="), "user_id", F.lit(") and g (b=[1, 2]) then h(x"))
     first = _udf(lambda x, n: "|".join(C.first_calls(x, n)))(text, F.when(F.col("user_id") % 2 == 0, 1).otherwise(2))
