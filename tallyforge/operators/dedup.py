@@ -104,18 +104,34 @@ def degree_drop(nodes: list[str], edges: list[tuple[str, str, float]], seed: int
         gone = pair_draw
         return [(order[gone], order[1 - gone], float(near[gone][1 - gone]), 1)]
     hashed = [hashlib.sha256(f"{seed}|{n}".encode()).hexdigest() for n in order]
+    by_degree: dict[int, set[int]] = {}
+    for i, x in enumerate(near):
+        by_degree.setdefault(len(x), set()).add(i)
+    sums: dict[int, np.float32] = {}  # of nodes whose edges haven't changed since
+
+    def total(i: int) -> np.float32:
+        if i not in sums:
+            row = np.zeros(len(order), np.float32)
+            row[list(near[i])] = list(near[i].values())
+            sums[i] = np.sum(row, dtype=np.float32)
+        return sums[i]
+
+    most = max(by_degree, default=0)
     while True:
-        most = max((len(x) for x in near), default=0)
+        while most and not by_degree.get(most):  # degrees only fall
+            most -= 1
         if not most:
             return out
-        among = [i for i, x in enumerate(near) if len(x) == most]
-        sums = {i: np.sum(np.array([near[i].get(j, np.float32(0)) for j in range(len(order))], np.float32), dtype=np.float32) for i in among}
-        top = max(sums.values())
-        gone = max((i for i in among if sums[i] == top), key=lambda i: hashed[i])
+        top = max(map(total, by_degree[most]))
+        gone = max((i for i in by_degree[most] if sums[i] == top), key=lambda i: hashed[i])
         best = max(sorted(near[gone]), key=lambda j: near[gone][j])
         out.append((order[gone], order[best], float(near[gone][best]), len(out) + 1))
+        by_degree[most].discard(gone)
         for j in near[gone]:
+            by_degree[len(near[j])].discard(j)
             del near[j][gone]
+            by_degree.setdefault(len(near[j]), set()).add(j)
+            sums.pop(j, None)
         near[gone] = {}
 
 
@@ -123,13 +139,15 @@ def degree_drop(nodes: list[str], edges: list[tuple[str, str, float]], seed: int
 MOST_EDGES = 20_000_000
 
 
-def near_duplicates_at(vectors: DataFrame, tau: float, seed: int = 42, tie_break: str = "draw", key: str = "id", field: str = "field", vector: str = "embedding") -> DataFrame:
+def near_duplicates_at(
+    vectors: DataFrame, tau: float, seed: int = 42, tie_break: str = "draw", key: str = "id", field: str = "field", vector: str = "embedding", pairs: DataFrame | None = None
+) -> DataFrame:
     """(id, best_neighbor, similarity, step): what the degree rule drops at one threshold, component by component.
 
     tie_break draw: components of two, ordered by field and lower id, take one draw each of a generator
-    seeded anew for the threshold; hash: they follow the rule of larger ones.
+    seeded anew for the threshold; hash: they follow the rule of larger ones. pairs: what similar_pairs() gave for a threshold no higher.
     """
-    pairs = cut(similar_pairs(vectors, tau, key, field, vector))
+    pairs = cut(similar_pairs(vectors, tau, key, field, vector)) if pairs is None else pairs.where(F.col("similarity") >= tau)
     components = cut(connected_components(pairs))
     edges = pairs.join(components, pairs["a"] == components["node"]).select("component", F.col(field).alias("__field"), F.col("a").cast("string"), F.col("b").cast("string"), "similarity")
     sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
@@ -161,9 +179,9 @@ def drop_flags(tools: DataFrame, vectors: DataFrame, taus: list[float], seed: in
     """
     left = tools.where(~F.col("dropped_exact")).select("id", "field").join(vectors.select("id", "embedding"), "id")
     left = cut(left)
-    out = None
+    pairs, out = cut(similar_pairs(left, min(taus))), None
     for tau in taus:
-        gone = near_duplicates_at(left, tau, seed, tie_break).select(F.col("id").alias("__gone"))
+        gone = near_duplicates_at(left, tau, seed, tie_break, pairs=pairs).select(F.col("id").alias("__gone"))
         at = tools.join(gone, tools["id"].cast("string") == gone["__gone"], "left").select("id", tau_key(F.lit(tau)).alias("tau"), "dropped_exact", (F.col("dropped_exact") | F.col("__gone").isNotNull()).alias("dropped"))
         out = at if out is None else out.union(at)
     return out

@@ -40,28 +40,37 @@ def _products(vectors: DataFrame, keys: list[str], block: int) -> DataFrame:
 
     def sums(part: pd.DataFrame) -> pd.DataFrame:
         lo, hi = part["lo"].iloc[0], part["hi"].iloc[0]
-        left = part[part["i"] == lo]
-        right = part[part["i"] == hi]
+        left, right = (part[part["i"] == k].sort_values("g") for k in (lo, hi))
         rows = []
         if len(left) and len(right):
             values = np.stack(left["v"].to_numpy()) @ np.stack(right["v"].to_numpy()).T
-            names, codes = np.unique(np.concatenate([left["g"], right["g"]]).astype(str), return_inverse=True)
-            x, y = codes[: len(left)], codes[len(left) :]
-            if lo == hi:
-                upper = np.triu_indices(len(left), 1)
-                s, gx, gy = values[upper], x[upper[0]], y[upper[1]]
-            else:
-                s, gx, gy = values.ravel(), np.repeat(x, len(right)), np.tile(y, len(left))
-            same = gx == gy
-            for kind, codes_, at in (("within", gx[same], same), ("others", gx[~same], ~same), ("others", gy[~same], ~same)):
-                v = s[at]
-                if not v.size:
-                    continue
-                order = np.argsort(codes_, kind="stable")
-                c, v = codes_[order], v[order]
-                first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-                rows.append(pd.DataFrame({"kind": kind, "g": names[c[first]], "n": np.diff(np.append(first, c.size)), "total": np.add.reduceat(v, first), "squares": np.add.reduceat(v * v, first), "low": np.minimum.reduceat(v, first), "high": np.maximum.reduceat(v, first)}))
-        return pd.concat(rows) if rows else pd.DataFrame({"kind": pd.Series(dtype=object), "g": pd.Series(dtype=object), **{c: pd.Series(dtype=float) for c in ("n", "total", "squares", "low", "high")}})
+            names = np.unique(np.concatenate([left["g"], right["g"]]).astype(str))
+            x, y = (np.searchsorted(names, side["g"].to_numpy().astype(str)) for side in (left, right))
+            # rows and columns are in order of their groups, so a pair of groups is a rectangle
+            at = [np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) for c in (x, y)]
+            size = [np.diff(np.append(first, len(c))) for first, c in zip(at, (x, y))]
+            x, y = x[at[0]], y[at[1]]
+
+            def folded(ufunc, matrix: np.ndarray, itself: float) -> np.ndarray:
+                if lo == hi:
+                    matrix = matrix.copy()
+                    np.fill_diagonal(matrix, itself)
+                return ufunc.reduceat(ufunc.reduceat(matrix, at[0], axis=0), at[1], axis=1)
+
+            n = np.outer(*size).astype(np.int64)
+            total, squares = folded(np.add, values, 0.0), folded(np.add, values * values, 0.0)
+            low, high = folded(np.minimum, values, np.inf), folded(np.maximum, values, -np.inf)
+            same = x[:, None] == y[None, :]
+            i, j = np.nonzero(same)
+            half = 2 if lo == hi else 1  # within a block each pair is there twice, and each row with itself
+            within = {"n": (n[i, j] - size[0][i]) // 2 if lo == hi else n[i, j], "total": total[i, j] / half, "squares": squares[i, j] / half, "low": low[i, j], "high": high[i, j]}
+            rows.append(pd.DataFrame({"kind": "within", "g": names[x[i]], **within}))
+            for axis, groups in ((1, x), (0, y)) if lo != hi else ((1, x),):
+                sums = {"n": np.where(same, 0, n).sum(axis), "total": np.where(same, 0.0, total).sum(axis), "squares": np.where(same, 0.0, squares).sum(axis)}
+                ends = {"low": np.where(same, np.inf, low).min(axis), "high": np.where(same, -np.inf, high).max(axis)}
+                rows.append(pd.DataFrame({"kind": "others", "g": names[groups], **sums, **ends}))
+        found = pd.concat(rows) if rows else pd.DataFrame({"kind": pd.Series(dtype=object), "g": pd.Series(dtype=object), **{c: pd.Series(dtype=float) for c in ("n", "total", "squares", "low", "high")}})
+        return found[found["n"] > 0]
 
     return sent.groupBy("lo", "hi").applyInPandas(sums, f"kind string, g string, {_SUMS}")
 
