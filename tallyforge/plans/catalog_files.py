@@ -40,7 +40,7 @@ def _put(df: DataFrame, name: str) -> str:
     return folder
 
 
-def _named(t, *extra) -> DataFrame:
+def _named(t) -> DataFrame:
     """(path, text) of two files for each nation, one of them in a folder below."""
     tool = F.concat(F.lit('{"tool_name": "'), "n_name", F.lit('", "n": '), "n_nationkey", F.lit("}"))
     at = F.concat(F.lit("r"), "n_regionkey", F.lit("_tool_spec_"), "n_nationkey", F.lit("__"), T.joined_name(F.col("n_name")))
@@ -75,14 +75,14 @@ def _(t):
     return readers.files(rows.sparkSession, [_put(rows, "json")], "*.json").select("stem", "length")
 
 
-@query("expand_argument", "SELECT n_nationkey AS position, 'f' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS name FROM nation")
+@query("expand_argument", "SELECT CAST(n_nationkey AS BIGINT) AS position, 'f' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS name FROM nation")
 def _(t):
     rows = t("nation").select(F.concat(F.lit("f"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).alias("path"), F.lit("x").alias("text"))
     names = readers.expanded(_put(rows, "argument"))
     return rows.sparkSession.createDataFrame([(k, n.rpartition("/")[2]) for k, n in enumerate(names)], "position long, name string")
 
 
-@query("tool_files", f"SELECT {_TOOL} AS id, 'r' || n_regionkey AS field, n_nationkey AS spec, regexp_replace(n_name, '[^A-Za-z0-9]+', '_', 'g') AS name, CASE WHEN n_nationkey % 3 > 0 THEN n_name END AS tool_name FROM nation")
+@query("tool_files", f"SELECT {_TOOL} AS id, 'r' || n_regionkey AS field, CAST(n_nationkey AS BIGINT) AS spec, regexp_replace(n_name, '[^A-Za-z0-9]+', '_', 'g') AS name, CASE WHEN n_nationkey % 3 > 0 THEN n_name END AS tool_name FROM nation")
 def _(t):
     rows = _named(t).where("path not like 'below%'").withColumn("text", F.when(T.id_spec(F.col("path")) % 3 == 0, F.concat(F.lit("{broken "), "text")).otherwise(F.col("text")))
     found = readers.tools(rows.sparkSession, [_put(rows, "tools")])
@@ -162,7 +162,7 @@ def _(t):
     return readers.test_cases(rows.sparkSession, [f"{folder}/c1.jsonl", f"{folder}/c0.jsonl"], "id long, name string")
 
 
-@query("environment_files", "SELECT 'e' || n_nationkey || '.environment' AS stem, CAST(1 AS INTEGER) AS position, 'only' AS task_type, n_name AS task, n_regionkey AS region FROM nation")
+@query("environment_files", "SELECT 'e' || n_nationkey || '.environment' AS stem, CAST(1 AS INTEGER) AS position, 'only' AS task_type, n_name AS task, CAST(n_regionkey AS BIGINT) AS region FROM nation")
 def _(t):
     plain = F.concat(F.lit("meta_data: {region: "), "n_regionkey", F.lit("}\ntasks:\n  - {task_type: only, task: "), "n_name", F.lit("}\n"))
     inner = F.concat(F.lit("tool_set_yml: |\n"), T.indented(plain, "  "))
@@ -273,7 +273,7 @@ def _(t):
     return sinks.chat_index(t("conversations").select("conv_id", "turn"), 7, "conv_id", "turn")
 
 
-@query("task_files", "SELECT CAST(n_regionkey AS INTEGER) AS spec, n_nationkey AS n, n_name AS task FROM nation")
+@query("task_files", "SELECT CAST(n_regionkey AS INTEGER) AS spec, CAST(n_nationkey AS BIGINT) AS n, n_name AS task FROM nation")
 def _(t):
     given = t("nation").select(F.col("n_regionkey").alias("spec"), F.col("n_nationkey").alias("n"), F.col("n_name").alias("task"))
     sinks.per_task(given, folder := _folder(given, "tasks"))

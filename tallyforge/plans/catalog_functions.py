@@ -412,7 +412,7 @@ def _(t):
     return spark.createDataFrame(list(codes.items()), "step string, code long")
 
 
-@query("registered_function", "SELECT s_suppkey, 2 * s_nationkey AS twice FROM supplier")
+@query("registered_function", "SELECT s_suppkey, CAST(2 * s_nationkey AS BIGINT) AS twice FROM supplier")
 def _(t):
     from ..functions import registry
 
