@@ -22,7 +22,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame | None:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixture": _on_documents(mixing.mix),
-    "op2_lz_fingerprints": _on_documents(lzprint.fingerprints),
+    "op2_lz_fingerprints": _on_documents(lzprint.linked),
     "op3_repetition": _on_documents(repetition.repetition),
     "op4_lattice_likelihood": _on_documents(lattice.score),
     "op5_best_two_fit": _on_documents(packing.pack),
