@@ -7,13 +7,14 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from operator import xor
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import shared_dir, written
@@ -26,6 +27,9 @@ LENGTH, PER_SHARD, KEY = 512, 32_768, 0x5EED_0F0D
 #: With more files than this the table of their offsets is joined, not broadcast (it has some 100 bytes a file).
 FILES_TO_BROADCAST = 50_000
 ROUNDS = 6
+#: materialised() shuffles and writes the shards in so many parts, one after the other, as all records of a shuffle lie on disk at once.
+WAVES = 4
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -83,17 +87,8 @@ def tokenised(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGT
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, seq int, n_tokens int, record binary")
 
 
-def training_order(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
-    """(slot, shard, byte_offset, doc_id, seq, n_tokens, record): every sequence at its place in the training order.
-
-    Texts are tokenised once, into a table in the shared folder; a sequence's number is its place there (input
-    files and rows in order), and a keyed Feistel permutation with cycle-walking of those numbers is its slot, from 0 without gaps. A
-    partition holds the per_shard slots of one shard, in order; record has 2 * length bytes and lies at byte_offset of
-    its shard. The same files, split alike, and the same key give the same order.
-
-    Null and empty texts are a sequence of one end id. Rows of equal or null doc_id have sequences of their
-    own. No documents: no rows. Other columns are not looked at.
-    """
+def _placed(docs: DataFrame, vocabulary: str, length: int, per_shard: int, key: int) -> tuple[DataFrame, int]:
+    """The sequences, from a table in the shared folder, with slot and shard; and how many there are."""
     spark = docs.sparkSession
     table = spark.read.parquet(written(tokenised(docs, vocabulary, length), "sequences"))
     table = table.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
@@ -105,14 +100,34 @@ def training_order(docs: DataFrame, vocabulary: str = VOCABULARY, length: int =
         offsets = F.broadcast(offsets)
     place = F.pandas_udf(lambda index: pd.Series(feistel(index.to_numpy(np.int64), total, key)), "long")
     placed = table.join(offsets, "__file").withColumn("slot", place(F.col("__before") + F.col("__row")))
-    placed = placed.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
+    return placed.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int")), total
+
+
+def _ordered(placed: DataFrame, first: int, shards: int, length: int, per_shard: int) -> DataFrame:
+    """The slots of so many shards from first on, with a partition for each shard, in order."""
     return (
-        placed.repartitionById(max(1, -(-total // per_shard)), F.col("shard"))
+        placed.where(F.col("shard").between(first, first + shards - 1))
+        .repartitionById(shards, F.col("shard") - first)
         .sortWithinPartitions("slot")
         .select("slot", "shard", (F.col("slot") % per_shard * 2 * length).alias("byte_offset"), "doc_id", "seq", "n_tokens", "record")
     )
 
 
+def training_order(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
+    """(slot, shard, byte_offset, doc_id, seq, n_tokens, record): every sequence at its place in the training order.
+
+    Texts are tokenised once, into a table in the shared folder; a sequence's number is its place there (input
+    files and rows in order), and a keyed Feistel permutation with cycle-walking of those numbers is its slot, from 0 without gaps. A
+    partition holds the per_shard slots of one shard, in order; record has 2 * length bytes and lies at byte_offset of
+    its shard. The same files, split alike, and the same key give the same order.
+
+    Null and empty texts are a sequence of one end id. Rows of equal or null doc_id have sequences of their
+    own. No documents: no rows. Other columns are not looked at.
+    """
+    placed, total = _placed(docs, vocabulary, length, per_shard, key)
+    return _ordered(placed, 0, max(1, -(-total // per_shard)), length, per_shard)
+
+
 def _filesystem(folder: str):
     from pyarrow import fs
 
@@ -191,18 +206,34 @@ def write_shards(ordered: DataFrame, folder: str, length: int = LENGTH, per_shar
     return _manifest(_shards(ordered, folder, length, per_shard), folder, length, per_shard)
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within, the shuffle files of a query go when it ends, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def materialised(docs: DataFrame, folder: str | None = None, vocabulary: str = VOCABULARY, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
     """(slot, shard, file, byte_offset, doc_id, seq, n_tokens, checksum): the training order, written as shards.
 
     Writes what training_order() gives as write_shards() does, into folder, by default a new one in the shared folder, for
-    read_sequences(). Sequence slot is the 2 * length bytes of file from byte_offset on; checksum is their CRC-32. Nulls, empty
-    texts, repeated doc_ids and no documents: as training_order() states.
+    read_sequences(), in WAVES parts whose shuffle files are removed before the next. Sequence slot is the 2 * length bytes of file from
+    byte_offset on; checksum is their CRC-32. Nulls, empty texts, repeated doc_ids and no documents: as training_order() states.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark).rstrip('/').removeprefix('file:')}/training-order-{uuid.uuid4().hex}"
     _without_manifest(folder)
-    ordered = training_order(docs, vocabulary, length, per_shard, key)
-    slots = spark.read.parquet(written(_shards(ordered, folder, length, per_shard), "slots"))
+    placed, total = _placed(docs, vocabulary, length, per_shard, key)
+    shards = max(1, -(-total // per_shard))
+    each = -(-shards // WAVES)
+    with _shuffles_removed(spark):
+        waves = (_ordered(placed, k, min(each, shards - k), length, per_shard) for k in range(0, shards, each))
+        paths = [written(_shards(wave, folder, length, per_shard), "slots") for wave in waves]
+    slots = spark.read.parquet(*paths)
     _manifest(slots, folder, length, per_shard)
     return slots.drop("__written")
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import time
 import zlib
 
 import numpy as np
@@ -141,3 +142,36 @@ def test_query_against_brute_force(spark, sf_dir):
         wanted[slot] = (slot // M.PER_SHARD, slot % M.PER_SHARD * 2 * M.LENGTH, doc_id, seq, len(ids), record)
     found = {r["slot"]: (*tuple(r)[1:6], bytes(r["record"])) for r in M.training_order(docs).collect()}
     assert found == wanted
+
+
+def test_shards_are_shuffled_a_part_at_a_time(spark, sf_dir, tmp_path, monkeypatch):
+    """Each part has no more than its shards, and its shuffle files are gone before the next."""
+    docs, sizes, real = spark.read.parquet(f"{sf_dir}/documents.parquet"), [], M.written
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled() -> dict[str, int]:
+        found = blocks.getAllFiles()
+        files = [found.apply(k) for k in range(found.size())]
+        return {f.getName(): f.length() for f in files if f.getName().startswith("shuffle_")}
+
+    def written(df, name):
+        before = shuffled()
+        path = real(df, name)
+        if name == "slots":
+            sizes.append(spark.read.parquet(path).count())
+            for _ in range(100):
+                if (left := sum(n for f, n in shuffled().items() if f not in before)) < sizes[-1]:  # a byte a record
+                    break
+                time.sleep(0.1)
+            assert left < sizes[-1]
+        return path
+
+    monkeypatch.setattr(M, "written", written)
+    kept = spark.conf.get(M._CLEANUP)
+    found = M.materialised(docs, str(tmp_path / "out"), length=64, per_shard=500).orderBy("slot").collect()
+    shards = -(-len(found) // 500)
+    assert spark.conf.get(M._CLEANUP) == kept and shards > 4
+    assert 1 < len(sizes) <= M.WAVES and sum(sizes) == len(found) and max(sizes) <= -(-shards // M.WAVES) * 500
+    ordered = M.training_order(docs, length=64, per_shard=500).orderBy("slot").collect()
+    assert [(r["slot"], r["shard"], r["byte_offset"], r["doc_id"], r["seq"]) for r in found] == [tuple(r)[:5] for r in ordered]
+    assert [x.tobytes() for x in M.read_sequences(str(tmp_path / "out"))] == [bytes(r["record"]) for r in ordered]
