@@ -83,8 +83,11 @@ def metadata_files(tools: DataFrame, files: DataFrame) -> DataFrame:
     tools has tool_id, tool_name and spec, files path (<field>_tool_spec_<n>__<name>__output.json).
     """
     named = files.select("path", lookup_name(F.regexp_extract("path", r"__(.+)__output\.json$", 1)).alias("__key"), F.regexp_extract("path", r"_tool_spec_(\d+)__", 1).try_cast("long").alias("__spec"))
-    both = tools.withColumn("__key", lookup_name(F.col("tool_name"))).join(named, "__key")
-    return preferred(both, ["tool_id"], F.col("spec") == F.col("__spec"), [F.col("path")]).select("tool_id", "path")
+    # tools meet one file of a name and one of a name and spec, not all files of the name
+    first, own = (named.groupBy(*keys).agg(F.min("path").alias(name)) for keys, name in ((["__key"], "__first"), (["__key", "__spec"], "__own")))
+    keyed = tools.select("tool_id", "spec", lookup_name(F.col("tool_name")).alias("__key")).join(first, "__key")
+    both = keyed.join(own.withColumnRenamed("__key", "__name"), (F.col("__key") == F.col("__name")) & (F.col("spec") == F.col("__spec")), "left")
+    return both.groupBy("tool_id").agg(F.coalesce(F.min("__own"), F.min("__first")).alias("path"))
 
 
 def not_done(todo: DataFrame, done: DataFrame, key: str, more_than: int = 0) -> DataFrame:
