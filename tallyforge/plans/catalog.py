@@ -119,12 +119,12 @@ comp AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)"""
 
 @query("tau_components", f"{_REACH} SELECT node, component FROM comp WHERE node IN (SELECT a FROM e)")
 def _(t):
-    return connected_components(dedup.similar_pairs(_vectors(t), TAU))
+    return connected_components(cut(dedup.spanning_pairs(_vectors(t), [TAU])))
 
 
 @query("tau_components_count", f"{_REACH} SELECT field, count(*) AS nodes, count(DISTINCT component) AS components FROM comp JOIN u ON u.id = comp.node GROUP BY field")
 def _(t):
-    return dedup.component_counts(_vectors(t), dedup.similar_pairs(_vectors(t), TAU))
+    return dedup.component_counts(_vectors(t), cut(dedup.spanning_pairs(_vectors(t), [TAU])))
 
 
 @query("degree_drop")
@@ -141,12 +141,14 @@ def _(t):
 @query("degree_drop_invariant", f"""{_REACH} SELECT 'drop below threshold' AS rule, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'similar survivors', 0 UNION ALL SELECT 'drop of a node without an edge', 0
 UNION ALL SELECT 'components with a survivor', count(DISTINCT component) FROM comp WHERE node IN (SELECT a FROM e)""")
 def _(t):
-    pairs, gone = cut(dedup.similar_pairs(_vectors(t), TAU)), cut(dedup.near_duplicates_at(_vectors(t), TAU))
+    pairs = cut(dedup.spanning_pairs(_vectors(t), [TAU]))
+    gone = cut(dedup.near_duplicates_at(_vectors(t), TAU, pairs=pairs))
     parts = cut(connected_components(pairs)).withColumn("__node", F.col("node").cast("string"))
     ids = gone.select(F.col("id").alias("__node"))
     alone = ids.join(parts, "__node", "left_anti").agg(F.count(F.lit(1)).alias("violations")).select(F.lit("drop of a node without an edge").alias("rule"), "violations")
     left = parts.join(ids, "__node", "left_anti").agg(F.countDistinct("component").alias("violations")).select(F.lit("components with a survivor").alias("rule"), "violations")
-    return dedup.violations(pairs, gone, TAU).union(alone).union(left)
+    stay = _vectors(t).join(gone.select(F.col("id").alias("__gone")), F.col("id").cast("string") == F.col("__gone"), "left_anti")
+    return dedup.violations(dedup.similar_pairs(stay, TAU), gone, TAU).union(alone).union(left)
 
 
 @query("threshold_pivot")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.operators import dedup as E
 from tallyforge.operators import reliability as R
 
 from .measuring import most_rows
+from .test_dedup import brute_components
 
 
 def test_tools_meet_one_file_of_a_name(spark):
@@ -18,3 +22,44 @@ def test_tools_meet_one_file_of_a_name(spark):
     # the file without a spec number is the first by path, as in the SQL of metadata_preferred; of two of the own spec the first by path
     wanted = {i: f"{'e' if i == 99 else 'f'}_tool_spec_{i + 200}__My_Tool__output.json" if i < 100 else "a__My_Tool__output.json" for i in range(300)}
     assert {r["tool_id"]: r["path"] for r in found.collect()} == wanted
+
+
+def _unit_rows(n: int, copies: int, seed: int) -> np.ndarray:
+    v = np.random.default_rng(seed).normal(size=(n, 8))
+    v[n - copies :] = v[:copies]
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("tau", [0.2, 0.6, 0.95])
+def test_degree_rule_of_vectors_is_that_of_their_pairs(tau, monkeypatch):
+    monkeypatch.setattr(E, "KEPT", 500)  # rows of products go and are made again
+    v = _unit_rows(300, 20, 5)
+    names = [f"n{k}" for k in range(300)]
+    products = v @ v.T
+    edges = [(names[a], names[b], products[a, b]) for a in range(300) for b in range(a + 1, 300) if products[a, b] >= tau]
+    wanted, found = E.degree_drop(names, edges, 42), E.degree_drop_of_vectors(names, v, tau, 42)
+    assert [(f[0], f[3]) for f in found] == [(w[0], w[3]) for w in wanted] and wanted
+    assert [f[2] for f in found] == pytest.approx([w[2] for w in wanted])
+    assert E.degree_drop_of_vectors(["b", "a"], v[:2], -1.0, 42, 0)[0][:2] == ("a", "b")
+
+
+def test_components_without_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(E, "MOST_EDGES", 10, raising=False)
+    v = _unit_rows(400, 30, 6)
+    data = [(k, "fg"[k % 2], v[k].tolist()) for k in range(400)]
+    vectors = spark.createDataFrame(data, "id long, field string, embedding array<double>")
+    some = E.spanning_pairs(vectors, [0.5, 0.9], block=64)
+    for k, tau in enumerate((0.5, 0.9)):
+        pairs = [(r["a"], r["b"]) for r in E.similar_pairs(vectors, tau, block=64).collect()]
+        few = [(r["a"], r["b"]) for r in some.where(F.col("k") == k).collect()]
+        assert brute_components(few) == brute_components(pairs)
+        assert {tuple(sorted(p)) for p in few} <= set(pairs) and (tau > 0.5 or len(few) < len(pairs) / 2)
+    # a component of more pairs than one task took
+    gone = E.near_duplicates_at(vectors, 0.5, tie_break="hash")
+    assert gone.count() > 300 and [r["violations"] for r in E.violations(E.similar_pairs(vectors, 0.5), gone, 0.5).collect()] == [0, 0]
+
+
+def test_an_id_of_two_fields_links_their_components(spark):
+    data = [(1, "f", [1.0, 0.0]), (2, "f", [1.0, 0.1]), (2, "g", [0.0, 1.0]), (3, "g", [0.1, 1.0]), (4, "g", [1.0, 0.05])]
+    gone = E.near_duplicates_at(spark.createDataFrame(data, "id int, field string, embedding array<double>"), 0.9).collect()
+    assert [(r["id"], r["best_neighbor"], r["step"]) for r in gone] in ([("2", "1", 1)], [("2", "3", 1)])
