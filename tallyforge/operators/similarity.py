@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tau_key
 from ..functions.vectors import unit
+from ..plans.scratch import cut
+from .blocks import TILE, matrix, paired
 
-#: Rows of a block: a pair of blocks is one matrix product of a task.
+#: Rows of a block of a small table.
 BLOCK = 1024
 _SUMS = "n long, total double, squares double, low double, high double"
 
@@ -31,48 +32,78 @@ def _spread(prefix: str) -> list:
     ]
 
 
+def _runs(names: np.ndarray) -> list[np.ndarray]:
+    """Cuts of sorted rows into tiles of at most TILE; a new group begins a tile once the one before has a quarter of that."""
+    starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, int)
+    cuts, last = [], 0
+    for end in [*starts[1:].tolist(), len(names)]:
+        while end - last > TILE:
+            cuts.append(last)
+            last += TILE
+        if end - last >= TILE // 4 or end == len(names):
+            cuts.append(last)
+            last = end
+    return [np.arange(x, y) for x, y in zip(cuts, [*cuts[1:], len(names)]) if x < y]
+
+
 def _products(vectors: DataFrame, keys: list[str], block: int) -> DataFrame:
     """(kind, g, n, total, squares, low, high): sums over blocks of pairs, kind within or others, g the group as a number."""
-    grouped = vectors.where("embedding is not null").select(F.concat_ws("\x1f", *(F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys)).alias("g"), unit(F.col("embedding")).alias("v"), F.xxhash64("embedding", "id").alias("h"))
-    blocks = max(1, -(-grouped.count() // block))
-    placed = grouped.withColumn("i", F.pmod("h", F.lit(blocks)).cast("int"))
-    sent = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j"))
-
-    def sums(part: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = part["lo"].iloc[0], part["hi"].iloc[0]
-        left, right = (part[part["i"] == k].sort_values("g") for k in (lo, hi))
-        rows = []
-        if len(left) and len(right):
-            values = np.stack(left["v"].to_numpy()) @ np.stack(right["v"].to_numpy()).T
-            names = np.unique(np.concatenate([left["g"], right["g"]]).astype(str))
-            x, y = (np.searchsorted(names, side["g"].to_numpy().astype(str)) for side in (left, right))
-            # rows and columns are in order of their groups, so a pair of groups is a rectangle
-            at = [np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) for c in (x, y)]
-            size = [np.diff(np.append(first, len(c))) for first, c in zip(at, (x, y))]
-            x, y = x[at[0]], y[at[1]]
-
-            def folded(ufunc, matrix: np.ndarray, itself: float) -> np.ndarray:
-                if lo == hi:
-                    matrix = matrix.copy()
-                    np.fill_diagonal(matrix, itself)
-                return ufunc.reduceat(ufunc.reduceat(matrix, at[0], axis=0), at[1], axis=1)
-
-            n = np.outer(*size).astype(np.int64)
-            total, squares = folded(np.add, values, 0.0), folded(np.add, values * values, 0.0)
-            low, high = folded(np.minimum, values, np.inf), folded(np.maximum, values, -np.inf)
-            same = x[:, None] == y[None, :]
-            i, j = np.nonzero(same)
-            half = 2 if lo == hi else 1  # within a block each pair is there twice, and each row with itself
-            within = {"n": (n[i, j] - size[0][i]) // 2 if lo == hi else n[i, j], "total": total[i, j] / half, "squares": squares[i, j] / half, "low": low[i, j], "high": high[i, j]}
-            rows.append(pd.DataFrame({"kind": "within", "g": names[x[i]], **within}))
-            for axis, groups in ((1, x), (0, y)) if lo != hi else ((1, x),):
-                sums = {"n": np.where(same, 0, n).sum(axis), "total": np.where(same, 0.0, total).sum(axis), "squares": np.where(same, 0.0, squares).sum(axis)}
-                ends = {"low": np.where(same, np.inf, low).min(axis), "high": np.where(same, -np.inf, high).max(axis)}
-                rows.append(pd.DataFrame({"kind": "others", "g": names[groups], **sums, **ends}))
-        found = pd.concat(rows) if rows else pd.DataFrame({"kind": pd.Series(dtype=object), "g": pd.Series(dtype=object), **{c: pd.Series(dtype=float) for c in ("n", "total", "squares", "low", "high")}})
-        return found[found["n"] > 0]
-
-    return sent.groupBy("lo", "hi").applyInPandas(sums, f"kind string, g string, {_SUMS}")
+    grouped = vectors.where("embedding is not null").select(F.lit(0).alias("g"), F.concat_ws("\x1f", *(F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys)).alias("name"), unit(F.col("embedding")).alias("v"), F.xxhash64("embedding", "id").alias("id"))
+
+    def sums(table):
+        import pyarrow as pa
+
+        v, of = matrix(table["v"]), table["i"].to_numpy()
+        names, group = np.unique(table["name"].to_numpy().astype(str), return_inverse=True)
+        ends = [table[k][0].as_py() for k in ("lo", "hi")]
+        one = ends[0] == ends[1]
+        sides = []
+        for k in ends[: 1 if one else 2]:
+            at = np.flatnonzero(of == k)
+            at = at[np.argsort(group[at], kind="stable")]
+            sides.append([(v[at[t]], group[at[t]]) for t in _runs(group[at])])
+        # by kind (within, others) and group
+        n, total, squares = np.zeros((2, len(names)), np.int64), np.zeros((2, len(names))), np.zeros((2, len(names)))
+        low, high = np.full((2, len(names)), np.inf), np.full((2, len(names)), -np.inf)
+        room = np.empty(TILE * TILE)  # taking new memory for each tile costs more than the products
+        for x, (left, gx) in enumerate(sides[0]):
+            for y, (right, gy) in enumerate(sides[-1]):
+                if one and y < x:
+                    continue
+                values = np.matmul(left, right.T, out=room[: len(left) * len(right)].reshape(len(left), len(right)))
+                diagonal = one and x == y
+                # rows and columns are in order of their groups, so a pair of groups is a rectangle
+                at = [np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) for c in (gx, gy)]
+                size = [np.diff(np.append(first, len(c))) for first, c in zip(at, (gx, gy))]
+                a, b = gx[at[0]], gy[at[1]]
+
+                def folded(ufunc, matrix_: np.ndarray, itself: float) -> np.ndarray:
+                    if diagonal:
+                        np.fill_diagonal(matrix_, itself)
+                    if matrix_.size and len(a) == len(b) == 1:
+                        return ufunc.reduce(matrix_, axis=None).reshape(1, 1)
+                    return ufunc.reduceat(ufunc.reduceat(matrix_, at[1], axis=1), at[0], axis=0)
+
+                least, most = folded(np.minimum, values, np.inf), folded(np.maximum, values, -np.inf)
+                added = folded(np.add, values, 0.0)
+                squared = np.vdot(values, values).reshape(1, 1) if len(a) == len(b) == 1 else folded(np.add, np.square(values, out=values), 0.0)
+                number = np.outer(*size).astype(np.int64)
+                same = a[:, None] == b[None, :]
+                for kind, here in ((0, same), (1, ~same)):
+                    i, j = np.nonzero(here)
+                    # within a diagonal tile each pair is there twice, and each row with itself; pairs of two groups count for each of them
+                    for groups in (a[i],) if kind == 0 or diagonal else (a[i], b[j]):
+                        twice = 2 if diagonal and kind == 0 else 1
+                        np.add.at(n[kind], groups, (number[i, j] - size[0][i]) // 2 if twice == 2 else number[i, j])
+                        np.add.at(total[kind], groups, added[i, j] / twice)
+                        np.add.at(squares[kind], groups, squared[i, j] / twice)
+                        np.minimum.at(low[kind], groups, least[i, j])
+                        np.maximum.at(high[kind], groups, most[i, j])
+        kind, at = np.nonzero(n)
+        found = {"kind": np.array(["within", "others"], object)[kind], "g": names[at].astype(object), **{c: x[kind, at] for c, x in (("n", n), ("total", total), ("squares", squares), ("low", low), ("high", high))}}
+        return pa.table({c: pa.array(x, pa.string()) if x.dtype == object else pa.array(x) for c, x in found.items()})
+
+    return paired(grouped, block).groupBy("g", "lo", "hi").applyInArrow(sums, f"kind string, g string, {_SUMS}")
 
 
 def overall(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -89,7 +120,7 @@ def by_group(vectors: DataFrame, keys: list[str], block: int = BLOCK) -> DataFra
     within is over the pairs of the group, null for a single row; vs_others over a row of the group and one of any other, null where
     there is no other. Blocks of rows are multiplied pair by pair, and only sums leave a task. vectors has id, embedding and the keys.
     """
-    sums = _folded(_products(vectors, keys, block), ["kind", "g"])
+    sums = cut(_folded(_products(vectors, keys, block), ["kind", "g"]))  # both kinds are read from it: else all products are made twice
     within = sums.where("kind = 'within'").select("g", *_spread("within"))
     others = sums.where("kind = 'others'").select("g", *_spread("vs_others"))
     counts = vectors.where("embedding is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import dedup as E
 from tallyforge.operators import reliability as R
+from tallyforge.operators import similarity as S
 
 from .measuring import most_rows
 from .test_dedup import brute_components
@@ -63,3 +64,31 @@ def test_an_id_of_two_fields_links_their_components(spark):
     data = [(1, "f", [1.0, 0.0]), (2, "f", [1.0, 0.1]), (2, "g", [0.0, 1.0]), (3, "g", [0.1, 1.0]), (4, "g", [1.0, 0.05])]
     gone = E.near_duplicates_at(spark.createDataFrame(data, "id int, field string, embedding array<double>"), 0.9).collect()
     assert [(r["id"], r["best_neighbor"], r["step"]) for r in gone] in ([("2", "1", 1)], [("2", "3", 1)])
+
+
+def test_statistics_send_a_row_to_a_bounded_number_of_places(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(600, 4))
+    groups = np.sort(rng.integers(0, 7, 600))
+    groups[:2] = 100, 101  # groups of one row
+    vectors = spark.createDataFrame([(k, int(groups[k]), v[k].tolist()) for k in range(600)], "id int, field int, embedding array<double>")
+    found = S.by_group(vectors, ["field"], block=4)  # 150 blocks of four rows before
+    assert most_rows(found) <= 16 * 600
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    products = u @ u.T
+    for r in found.collect():
+        mine = groups == r["field"]
+        within, others = products[np.ix_(mine, mine)][np.triu_indices(mine.sum(), 1)], products[np.ix_(mine, ~mine)]
+        assert (r["within_mean"] is None) == (mine.sum() == 1)
+        for name, x in (("within", within), ("vs_others", others)):
+            if x.size:
+                assert [r[f"{name}_{k}"] for k in ("mean", "std", "min", "max")] == pytest.approx([x.mean(), x.std(), x.min(), x.max()])
+    assert S.overall(vectors, block=4).first()["mean"] == pytest.approx(products[np.triu_indices(600, 1)].mean())
+
+
+def test_tiles_of_runs_cover_all_rows():
+    for sizes in ([1], [5000], [1] * 3000, [200, 300, 3000, 1, 255, 256, 1024, 1025]):
+        names = np.repeat(np.arange(len(sizes)), sizes)
+        cut = S._runs(names)
+        assert np.concatenate(cut).tolist() == list(range(len(names))) and max(map(len, cut)) <= S.TILE
+    assert S._runs(np.zeros(0)) == []
