@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import documents as D
 from ..functions.text import first_given, slug
+from ..plans.spread import spread
 
 
 def fenced_blocks(text: Column) -> Column:
@@ -38,7 +39,7 @@ def _records(df: DataFrame, text: str, schema: str, rows: Callable[[str | None],
             yield out
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text)
-    return df.mapInPandas(run, f"{kept}, {schema}" if kept else schema)
+    return spread(df).mapInPandas(run, f"{kept}, {schema}" if kept else schema)
 
 
 def extract_tools(specs: DataFrame, text: str = "text") -> DataFrame:
