@@ -16,6 +16,7 @@ from ..operators import calls as calls_
 from ..operators import dedup, parameter_check, parsing, reliability, similarity
 from . import model, prompts
 from .catalog import _PAIRS, _U, TAU, _vectors, query
+from .spread import spread
 
 
 def _udf(function, kind: str = "string"):
@@ -328,7 +329,7 @@ def _(t):
     more = _played("difference", lambda m: _travel(m), lambda m: [("calculate_price_difference", {"flight": {"economy_price": 100, "business_price": 300}, "old_cabin": "Economy Class", "new_cabin": "Business Class"})])
     cost = _played("cost", lambda m: _travel(m), lambda m: [booking])
     refund = _udf(lambda m: (lambda r: f"{r['refund']:g}" if r["ok"] else r["message"])(run_calls(_travel(m), [booking, ("cancel_reservation", {"user_id": "u", "reservation_id": "res_1", "reason": "x"})])[0][-1]))
-    return t("customer").select("c_custkey", known(money, number).alias("known"), fee(money).alias("fee"), more(money).alias("more"), cost(money).alias("cost"), refund(money).alias("refund"))
+    return spread(t("customer").select("c_custkey", "c_nationkey")).select("c_custkey", known(money, number).alias("known"), fee(money).alias("fee"), more(money).alias("more"), cost(money).alias("cost"), refund(money).alias("refund"))
 
 
 @query("travel_changes", """SELECT c_custkey, CASE WHEN c_nationkey * 20 < 100 THEN 'no such reservation of the user' ELSE 'flight changed; ' || CASE WHEN c_nationkey * 20 < 300 THEN 'cabin not paid' ELSE 'cabin paid 200' END END AS changed,
@@ -340,7 +341,7 @@ def _(t):
     changed = _udf(lambda m: run_calls(_travel(m), [booking, change])[0][-1]["message"])
     flights = _udf(lambda m: len(run_calls(_travel(m), [("get_flight_details", {"origin": "Oslo"})])[0][0]["flights"]), "int")
     level = _udf(lambda n: (lambda r: r["user"]["membership_level"] if r["ok"] else r["message"])(run_calls(_travel(0), [("get_user_details", {"user_id": "u", "password": "p" if n % 2 == 0 else "q"})])[0][0]))
-    return t("customer").select("c_custkey", changed(money).alias("changed"), flights(money).alias("flights"), level(number).alias("level"))
+    return spread(t("customer").select("c_custkey", "c_nationkey")).select("c_custkey", changed(money).alias("changed"), flights(money).alias("flights"), level(number).alias("level"))
 
 
 def _food(balance: int, wifi: bool) -> dict:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators import dedup as E
 from tallyforge.operators import reliability as R
 from tallyforge.operators import similarity as S
+from tallyforge.plans.catalog import QUERIES
 
 from .measuring import most_rows
 from .test_dedup import brute_components
@@ -92,3 +93,8 @@ def test_tiles_of_runs_cover_all_rows():
         cut = S._runs(names)
         assert np.concatenate(cut).tolist() == list(range(len(names))) and max(map(len, cut)) <= S.TILE
     assert S._runs(np.zeros(0)) == []
+
+
+@pytest.mark.parametrize("name", ["environment_tasks", "literal_yaml", "tools_keys", "travel_calls", "travel_changes"])
+def test_parsers_of_one_small_file_run_on_all_cores(spark, sf_dir, name):
+    assert QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
